@@ -32,25 +32,62 @@ def parts_of(text: str) -> list[str]:
 
 
 class WordCache:
-    """Encodes lists of texts to little-endian unsigned 32-bit ids; ``encode_new`` does so for parts not seen before."""
+    """Encodes lists of texts to little-endian unsigned 32-bit ids; ``encode_new`` does so for parts not in memory.
+
+    Memory has two generations of half the size: when the young one is full it
+    becomes the old one, and what is used again moves on to the next.
+    """
 
     def __init__(self, encode_new: Callable[[list[str]], list[bytes]]):
-        self.encode_new, self.seen = encode_new, {}
+        self.encode_new, self.seen, self.old = encode_new, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        seen = self.seen
+        if len(self.seen) > REMEMBERED // 2:
+            self.seen, self.old = {}, self.seen
+        seen, old = self.seen, self.old
         cut = [parts_of(t) for t in texts]
         found = [list(map(seen.get, parts)) for parts in cut]
-        new = list({p for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None})
-        fresh: dict[str, bytes] = {}
+        missed = {p for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}
+        fresh = {p: old[p] for p in missed if p in old}
+        new = [p for p in missed if p not in fresh]
         if new:
-            fresh = dict(zip(new, self.encode_new(new), strict=True))
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-            seen.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST)
+            fresh.update(zip(new, self.encode_new(new), strict=True))
+        seen.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST)
         return [b"".join(ids if None not in ids else [fresh[p] if i is None else i for p, i in zip(parts, ids, strict=True)]) for parts, ids in zip(cut, found, strict=True)]
 
 
+class Joined:
+    """Encodes many parts at a time as the lines of one text.
+
+    A line feed between parts that hold none is a token of its own, so the ids
+    fall apart at it.  Parts with other white space than one leading space, and
+    all parts if the line feed has not one id, are encoded one by one.
+    """
+
+    LINES = 300
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, parts: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        plain = [p for p in parts if len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and p[0] != "\n" and (p[0] == " " or not p[0].isspace())] if self.feed is not None else []
+        lines = [plain[at : at + self.LINES] for at in range(0, len(plain), self.LINES)]
+        for own, ids in zip(lines, self._encode(["\n".join(x) for x in lines]), strict=True):
+            ends, raw, start = np.flatnonzero(ids == self.feed).tolist(), ids.tobytes(), 0
+            for p, end in zip(own, [*ends, len(ids)], strict=True):
+                out[p] = raw[4 * start : 4 * end]
+                start = end + 1
+        rest = [p for p in parts if p not in out]
+        out.update(zip(rest, (x.tobytes() for x in self._encode(rest)), strict=True))
+        return [out[p] for p in parts]
+
+
 _LOADED: dict[str, WordCache] = {}
 
 
@@ -60,6 +97,5 @@ def id_encoder(path: str) -> WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _LOADED[path] = WordCache(lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        _LOADED[path] = WordCache(Joined(Tokenizer.from_file(path)))
     return _LOADED[path]
