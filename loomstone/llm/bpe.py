@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import need, without
-from .wordcache import WordCache
+from .wordcache import WordCache, chunks
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -168,10 +168,10 @@ def _mapped(df: DataFrame, source: str, target: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                made = pa.array(f(part.column(names.index(source)).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*names, target])
+            values = batch.column(names.index(source)).to_pylist()
+            for at, stop in chunks([v or "" for v in values]):  # very long texts must not add up
+                made = pa.array(f(values[at:stop]), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, stop - at).columns, made], names=[*names, target])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(target, T.BinaryType())]))
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import need, save, without
-from .wordcache import id_encoder
+from .wordcache import chunks, id_encoder
 
 PIECES = "piece int, start long, length long, ids binary"
 
@@ -51,11 +51,11 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capac
         encode = id_encoder(tokenizer_path)
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # few texts at a time: very long ones must not add up
-                part = batch.slice(at, 64)
-                who, texts = part.column(0), part.column(1).to_pylist()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, stop in chunks(texts):  # very long texts must not add up
+                who = batch.column(0).slice(at, stop - at)
                 rows, piece, start, length, blobs = [], [], [], [], []
-                for i, raw in enumerate(encode([t or "" for t in texts])):
+                for i, raw in enumerate(encode(texts[at:stop])):
                     raw += tail
                     if not raw:
                         continue

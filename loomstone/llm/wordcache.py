@@ -14,21 +14,34 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-REMEMBERED, LONGEST = 800_000, 40
-#: White space other than space and line feed; and the mark that parts are cut at.
-_OTHER = re.compile(r"[^\S \n]|\x00")
+REMEMBERED, LONGEST = 1_200_000, 40
+#: White space other than space and line feed.
+_OTHER = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
-def parts_of(text: str) -> list[str]:
-    """``text`` in parts that are encoded alike alone and in place; joined, they are ``text``."""
+def marked(text: str) -> str:
+    """``text`` with a NUL between parts that are encoded alike alone and in place. It holds no NUL itself."""
     if not text:
-        return []
+        return text
     if text[0] in " \n" or text[-1] in " \n" or any(p in text for p in _PAIRS) or _OTHER.search(text):
-        return _SAFE.split(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return "\0".join(_SAFE.split(text))
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+
+
+def chunks(texts: list[str], characters: int = 4_000_000) -> list[tuple[int, int]]:
+    """Ranges of texts that together have about so many characters (a longer text has a range of its own)."""
+    out, start, total = [], 0, 0
+    for k, t in enumerate(texts):
+        if total and total + len(t) > characters:
+            out.append((start, k))
+            start, total = k, 0
+        total += len(t)
+    return [*out, (start, len(texts))] if texts else []
 
 
 class WordCache:
@@ -42,18 +55,41 @@ class WordCache:
         self.encode_new, self.seen, self.old = encode_new, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if "\0" in t]
+        if whole:  # NUL marks the cuts; a text that holds one is encoded as it is
+            odd = dict(zip(whole, self.encode_new([texts[k] for k in whole]), strict=True))
+            rest = iter(self([t for t in texts if "\0" not in t]))
+            return [odd[k] if k in odd else next(rest) for k in range(len(texts))]
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array([marked(t) for t in texts], pa.large_string()), "\0")
+        coded = parts.values.dictionary_encode()
+        known = self._ids(coded.dictionary.to_pylist())
+        # the ids of all parts in order: each takes its part's run out of the different ones' ids
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)]
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of different parts."""
         if len(self.seen) > REMEMBERED // 2:
             self.seen, self.old = {}, self.seen
         seen, old = self.seen, self.old
-        cut = [parts_of(t) for t in texts]
-        found = [list(map(seen.get, parts)) for parts in cut]
-        missed = {p for parts, ids in zip(cut, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}
+        found = list(map(seen.get, parts))
+        if None not in found:
+            return found
+        missed = [p for p, i in zip(parts, found, strict=True) if i is None]
         fresh = {p: old[p] for p in missed if p in old}
         new = [p for p in missed if p not in fresh]
         if new:
             fresh.update(zip(new, self.encode_new(new), strict=True))
         seen.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST)
-        return [b"".join(ids if None not in ids else [fresh[p] if i is None else i for p, i in zip(parts, ids, strict=True)]) for parts, ids in zip(cut, found, strict=True)]
+        return [fresh[p] if i is None else i for p, i in zip(parts, found, strict=True)]
 
 
 class Joined:
@@ -76,7 +112,7 @@ class Joined:
 
     def __call__(self, parts: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = [p for p in parts if len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and p[0] != "\n" and (p[0] == " " or not p[0].isspace())] if self.feed is not None else []
+        plain = [p for p in parts if p and len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and p[0] != "\n" and (p[0] == " " or not p[0].isspace())] if self.feed is not None else []
         lines = [plain[at : at + self.LINES] for at in range(0, len(plain), self.LINES)]
         for own, ids in zip(lines, self._encode(["\n".join(x) for x in lines]), strict=True):
             ends, raw, start = np.flatnonzero(ids == self.feed).tolist(), ids.tobytes(), 0
