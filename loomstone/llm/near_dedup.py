@@ -37,7 +37,7 @@ from .components import components
 from .shared import need, save
 
 BANDS, ROWS, HASHES, BATCH = 18, 3, 128, 32
-BLOCK = 128  # classes of a bucket or cluster that one task holds against as many others
+BUCKET_BLOCK, CLUSTER_BLOCK = 128, 128  # classes of a bucket (signatures) or cluster (whole sets) that are held against as many others at a time
 MISS = 1e-7
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULT = np.random.default_rng(20240229).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,12 +171,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield from cut(pa.Table.from_batches(held), True)
 
 
-def _blocked(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """Adds ``i, j``: each row of a group of more than ``BLOCK`` rows goes to every pair of blocks that its own is part of.
+def _blocked(df: DataFrame, block: int, id_col: str = "node") -> DataFrame:
+    """Adds ``i, j``: each row of a group of more than ``block`` rows goes to every pair of blocks that its own is part of.
 
     ``own`` tells which of the two it belongs to.
     """
-    n = (F.floor((F.col("members") - 1) / BLOCK) + 1).cast("int")
+    n = (F.floor((F.col("members") - 1) / block) + 1).cast("int")
     mine = F.pmod(F.xxhash64(id_col), n).cast("int")
     out = df.withColumn("__n", n).withColumn("own", mine)
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
@@ -262,7 +262,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, miss: float =
 
     banded = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     full = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    work = _blocked(banded.join(full, ["band", "bucket"]), ["band", "bucket"], "node").join(reps.select("node", "sig"), "node")
+    work = _blocked(banded.join(full, ["band", "bucket"]), BUCKET_BLOCK).join(reps.select("node", "sig"), "node")
 
     def by_signature(values: list[bytes], first: int) -> Iterator[tuple[int, int]]:
         m = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), HASHES)
@@ -279,8 +279,8 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, miss: float =
     members = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     wanted = clusters.join(members, "component")
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-    sets = _sets(texts.join(wanted.withColumnRenamed("node", "__id"), "__id"), width)
-    blocks = _blocked(sets, ["component"], "node")
+    sets = _sets(texts.hint("merge").join(wanted.withColumnRenamed("node", "__id"), "__id"), width)  # the same way at every size
+    blocks = _blocked(sets, CLUSTER_BLOCK)
 
     def by_sets(values: list[bytes], first: int) -> Iterator[tuple[int, int]]:
         both, size = overlaps([np.frombuffer(v, np.uint64) for v in values], first)
