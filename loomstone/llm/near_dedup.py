@@ -37,7 +37,7 @@ from .components import components
 from .shared import need, save
 
 BANDS, ROWS, HASHES, BATCH = 18, 3, 128, 32
-BUCKET_BLOCK, CLUSTER_BLOCK = 128, 128  # classes of a bucket (signatures) or cluster (whole sets) that are held against as many others at a time
+BUCKET_BLOCK, CLUSTER_BLOCK = 256, 128  # classes of a bucket (signatures) or cluster (whole sets) that are held against as many others at a time
 MISS = 1e-7
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULT = np.random.default_rng(20240229).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
