@@ -13,7 +13,7 @@ The best k of each block meet in one last ranking.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,41 +22,56 @@ from pyspark.sql import functions as F
 
 from .shared import need, save
 
-DATA_BLOCK, QUERY_BLOCK, LEAF = 4096, 1024, 48
+DATA_BLOCK, QUERY_BLOCK, LEAF, STRIP = 8192, 2048, 64, 2048
 
 
 @dataclass
-class Node:
-    """Points ``rows`` lie within ``radius`` of ``centre``; inner nodes have children that part them."""
+class Tree:
+    """A cover tree in flat arrays; node 0 is the root. ``kids`` of a node are node numbers, of a leaf none; ``rows`` its points."""
 
     centre: np.ndarray
-    radius: float
-    rows: np.ndarray
-    children: list[Node] = field(default_factory=list)
+    radius: np.ndarray
+    kids: list[np.ndarray]
+    rows: list[np.ndarray]
 
+    @property
+    def norm(self) -> np.ndarray:
+        return np.sqrt((self.centre**2).sum(1))
 
-def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, start: int | None = None) -> Node:
-    """Cover tree of the points ``x[rows]``: children of a node are centred on its points, apart by half its radius and covering it."""
-    rows = np.arange(len(x)) if rows is None else rows
-    stack: list[tuple[Node, int]] = []
 
-    def node(members: np.ndarray, centre: int) -> Node:
-        made = Node(x[centre], float(np.sqrt(((x[members] - x[centre]) ** 2).sum(1).max())), members)
-        if len(members) > LEAF and made.radius > 0:
-            stack.append((made, centre))
-        return made
+def cover_tree(x: np.ndarray) -> Tree:
+    """Cover tree of the points ``x``.
 
-    root = node(rows, rows[0] if start is None else start)
-    while stack:
-        at, centre = stack.pop()
-        left, half, pick = at.rows, at.radius / 2, centre
-        while len(left):
-            near = np.sqrt(((x[left] - x[pick]) ** 2).sum(1)) <= half
-            at.children.append(node(left[near], pick))
+    A node's children are centred on its points, lie apart by more than half its
+    radius and cover it within that half.  A node of few points stays whole, and
+    so does one whose points are all far from each other: to part it into about
+    as many children as it has points would rule nothing out.
+    """
+    centre, radius, kids, rows = [], [], [], []
+
+    def node(members: np.ndarray, at: int) -> int:
+        centre.append(x[at])
+        radius.append(float(np.sqrt(((x[members] - x[at]) ** 2).sum(1).max())))
+        kids.append(np.zeros(0, dtype=np.int64))
+        rows.append(members)
+        return len(rows) - 1
+
+    todo = [(node(np.arange(len(x)), 0), 0)]
+    while todo:
+        k, at = todo.pop()
+        left, half, parts = rows[k], radius[k] / 2, []
+        if len(left) <= LEAF or not half:
+            continue
+        most = max(2, len(left) // 16)
+        while len(left) and len(parts) <= most:
+            near = np.sqrt(((x[left] - x[at]) ** 2).sum(1)) <= half
+            parts.append((left[near], at))
             left = left[~near]
-            if len(left):
-                pick = int(left[0])
-    return root
+            at = int(left[0]) if len(left) else at
+        if not len(left) and len(parts) <= most:
+            kids[k] = np.array([node(m, c) for m, c in parts])
+            todo += [(int(c), at) for c, (_, at) in zip(kids[k], parts, strict=True)]
+    return Tree(np.array(centre), np.array(radius), kids, rows)
 
 
 class Best:
@@ -65,12 +80,22 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
+    def worst(self, rows: np.ndarray) -> float:
+        return float(self.score[rows, -1].min())
+
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """Scores of queries ``q`` (rows) with candidates (columns; -inf where they take no part)."""
-        s = np.concatenate([self.score[q], score], 1)
-        i = np.concatenate([self.id[q], np.broadcast_to(ids, score.shape)], 1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
-        self.score[q], self.id[q] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        r, c = np.nonzero((score >= self.score[q, -1:]) & (score > -np.inf))
+        if not len(r):
+            return
+        mine = np.unique(r)
+        row = np.concatenate([r, np.repeat(mine, self.k)])
+        s = np.concatenate([score[r, c], self.score[q[mine]].reshape(-1)])
+        i = np.concatenate([ids[c], self.id[q[mine]].reshape(-1)])
+        order = np.lexsort((i, -s, row))
+        first = np.searchsorted(row[order], mine)
+        pick = order[first[:, None] + np.arange(self.k)]  # each row has at least the k it had before
+        self.score[q[mine]], self.id[q[mine]] = s[pick], i[pick]
 
 
 def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: list[np.ndarray], k: int) -> Best:
@@ -82,30 +107,51 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: list[np.nd
     padded = np.full((len(ids), width), -1, dtype=np.int64)
     for row, own in zip(padded, ids, strict=True):
         row[: len(own)] = own
-    worst = lambda n: best.score[n.rows, -1].min()
-    norm = lambda n: float(np.sqrt((n.centre**2).sum()))
+    a, b = cover_tree(q), cover_tree(x)
+    norm_a, norm_b = a.norm, b.norm
     slack = 1e-9 * (1 + float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1])
 
-    def bound(a: Node, b: Node) -> float:
-        return float(a.centre @ b.centre) + a.radius * norm(b) + b.radius * norm(a) + a.radius * b.radius + slack
+    def bounds(n: int, nodes: np.ndarray) -> np.ndarray:
+        """No inner product of a query of node ``n`` with a point of each of ``nodes`` is larger."""
+        r = a.radius[n]
+        return b.centre[nodes] @ a.centre[n] + r * norm_b[nodes] + b.radius[nodes] * (norm_a[n] + r) + slack
 
-    a, b = cover_tree(q), cover_tree(x)
-    stack = [(bound(a, b), a, b)]
+    def inner(nodes: np.ndarray) -> np.ndarray:
+        return np.array([len(b.kids[k]) > 0 for k in nodes], dtype=bool)
+
+    def compare(rows: np.ndarray, points: np.ndarray) -> None:
+        for at in range(0, len(points), STRIP):
+            part = points[at : at + STRIP]
+            s, c = np.repeat(q[rows] @ x[part].T, width, axis=1), padded[part].reshape(-1)
+            s[(c[None, :] == q_ids[rows, None]) | (c[None, :] < 0)] = -np.inf
+            best.add(rows, s, c)
+
+    stack = [(0, np.zeros(1, dtype=np.int64))]
     while stack:
-        limit, a, b = stack.pop()
-        if limit < worst(a):
-            continue
-        if not a.children and not b.children:
-            s = np.repeat(q[a.rows] @ x[b.rows].T, width, axis=1)
-            c = padded[b.rows].reshape(-1)
-            s[(c[None, :] == q_ids[a.rows, None]) | (c[None, :] < 0)] = -np.inf
-            best.add(a.rows, s, c)
+        n, front = stack.pop()
+        leaf = not len(a.kids[n])
+        while len(front):
+            limit = bounds(n, front)
+            front = front[limit >= best.worst(a.rows[n])]
+            wide = inner(front)
+            if not leaf:
+                wide &= b.radius[front] >= a.radius[n]
+            if not wide.any():
+                break
+            front = np.concatenate([front[~wide], *(b.kids[k] for k in front[wide])])
+        if not leaf:
+            stack += [(int(c), front) for c in a.kids[n]]
             continue
-        if b.children and (not a.children or b.radius >= a.radius):
-            pairs = [(bound(a, c), a, c) for c in b.children]
-        else:
-            pairs = [(bound(c, b), c, b) for c in a.children]
-        stack += sorted((p for p in pairs if p[0] >= worst(p[1])), key=lambda p: p[0])  # the most promising on top
+        # leaves of the data, the most promising first; what they bring rules later ones out
+        limit = bounds(n, front)
+        order = np.argsort(-limit, kind="stable")
+        front, limit, at = front[order], limit[order], 0
+        while at < len(front) and limit[at] >= best.worst(a.rows[n]):
+            size = np.cumsum([len(b.rows[k]) for k in front[at:]])
+            stop = at + max(1, int(np.searchsorted(size, STRIP)))
+            take = front[at:stop][limit[at:stop] >= best.worst(a.rows[n])]
+            compare(a.rows[n], np.concatenate([b.rows[k] for k in take]))
+            at = stop
     return best
 
 
@@ -169,4 +215,4 @@ def top_k(vectors: DataFrame, k: int = 5, is_query=None, scale: int = 256, id_co
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-__all__ = ["Best", "Node", "cover_tree", "dual_search", "top_k"]
+__all__ = ["Best", "Tree", "cover_tree", "dual_search", "top_k"]
