@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED, LONGEST = 1_200_000, 40
+REMEMBERED, LONGEST = 900_000, 40
 #: White space other than space and line feed.
 _OTHER = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -33,7 +33,7 @@ def marked(text: str) -> str:
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0")
 
 
-def chunks(texts: list[str], characters: int = 4_000_000) -> list[tuple[int, int]]:
+def chunks(texts: list[str], characters: int = 2_000_000) -> list[tuple[int, int]]:
     """Ranges of texts that together have about so many characters (a longer text has a range of its own)."""
     out, start, total = [], 0, 0
     for k, t in enumerate(texts):
