@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import hold
 from .shared import need, without
 from .wordcache import WordCache, chunks
 
@@ -151,14 +152,12 @@ class BPE:
         return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[tuple[str, str], tuple[BPE, WordCache]] = {}
-
-
 def _worker(path: str, pattern: str) -> tuple[BPE, WordCache]:
-    if (path, pattern) not in _LOADED:
+    def build() -> tuple[BPE, WordCache]:
         bpe = BPE(read_ranks(path), pattern)
-        _LOADED[path, pattern] = (bpe, WordCache(bpe.encode_parts))
-    return _LOADED[path, pattern]
+        return bpe, WordCache(bpe.encode_parts)
+
+    return hold(("bpe", path, pattern), build)
 
 
 def _mapped(df: DataFrame, source: str, target: str, make) -> DataFrame:

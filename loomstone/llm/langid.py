@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import hold
 from .shared import bounded, fold, map_text, need
 
 BITS = 15
@@ -157,6 +158,7 @@ def language_id(docs: DataFrame, model: Languages, carry: tuple[str, ...] = ("do
 
     def make():
         m = sent.value
+        hold(("language",))
 
         def run(texts: list[str | None]) -> list[pa.Array]:
             got = [predict(t, m) for t in texts]

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .memory import hold
 from .shared import need, save
 
 BANDS, ROWS, HASHES, BATCH = 18, 3, 128, 32
@@ -42,7 +43,6 @@ MISS = 1e-7
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULT = np.random.default_rng(20240229).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_WORDS: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,13 +56,14 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    got = list(map(_WORDS.get, words))
+    known = hold(("words",), dict)  # word -> hash
+    got = list(map(known.get, words))
     if None in got:
-        if len(_WORDS) > 500_000:
-            _WORDS.clear()
+        if len(known) > 300_000:
+            known.clear()
         for i, h in enumerate(got):
             if h is None:
-                got[i] = _WORDS[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+                got[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
     h = np.array(got, dtype=np.uint64)
     n = max(1, len(h) - width + 1)
     x = np.full(n, min(width, len(h)), dtype=np.uint64)

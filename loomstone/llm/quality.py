@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import hold
 from .shared import bounded, fold, map_text, need
 
 STATISTICS = (
@@ -152,7 +153,7 @@ def quality_scores(docs: DataFrame, model: Discriminant, carry: tuple[str, ...]
         x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(STATISTICS))
         return [pa.array(model.score(x), pa.float64())]
 
-    return map_text(docs, text_col, list(carry), [(score_col, "double")], lambda: score)
+    return map_text(docs, text_col, list(carry), [(score_col, "double")], lambda: hold(("quality",)) or score)
 
 
 def quality_fold(id_col: str = "doc_id"):

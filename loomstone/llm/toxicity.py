@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import hold
 from .shared import bounded, fold, map_text, need
 
 DECAY, REACH, WIDTH, STRIDE = 0.5, 3, 14, 5
@@ -177,16 +178,9 @@ def train(toxic: list[str], clean: list[str], letters: str, clean_marks: list[st
     return Machine(0.5, table, weight, bias)
 
 
-_SEEN: dict[bytes, dict[str, float]] = {}
-
-
 def tops(texts: list[str], machine: Machine) -> tuple[np.ndarray, list[str | None]]:
     """Of each text the two highest values of its words, and the word that had the highest."""
-    key = np.array([machine.bias, machine.weight.sum(), np.abs(machine.weight).sum()]).tobytes()
-    if key not in _SEEN:
-        _SEEN.clear()
-        _SEEN[key] = {}
-    seen = _SEEN[key]
+    seen = hold(("toxicity", machine.bias, machine.weight.sum(), np.abs(machine.weight).sum()), dict)  # word -> value
     each = [units(t) for t in texts]
     new = list({w for ws in each for w in ws if w not in seen})
     if len(seen) + len(new) > REMEMBERED:

@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED, LONGEST = 900_000, 40
+from .memory import hold
+
+REMEMBERED, LONGEST = 500_000, 40
 #: White space other than space and line feed.
 _OTHER = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
@@ -124,14 +126,13 @@ class Joined:
         return [out[p] for p in parts]
 
 
-_LOADED: dict[str, WordCache] = {}
-
-
 def id_encoder(path: str) -> WordCache:
     """The worker's encoder by the ``tokenizers`` file at ``path``, without added special tokens."""
-    if path not in _LOADED:
+
+    def build() -> WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path] = WordCache(Joined(Tokenizer.from_file(path)))
-    return _LOADED[path]
+        return WordCache(Joined(Tokenizer.from_file(path)))
+
+    return hold(("ids", path), build)
