@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     through; a column of ``docs`` named like an added one is replaced.
     """
     need(docs, id_col, text_col)
-    docs = without(docs, "keep_id", "group_size", "kept", "norm_text", "variants")
+    docs = without(docs, "keep_id", "group_size", "kept", "norm_text")
     h, norm = free_name(docs, "content_hash"), "norm_text"
     keyed = docs.withColumn(norm, normalise(F.col(text_col))).withColumn(h, hash_fn(F.col(norm)))
     texts = keyed.groupBy(h, norm).agg(F.min(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

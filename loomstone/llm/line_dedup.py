@@ -58,7 +58,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     through; columns named ``n_lines`` or ``n_removed`` are replaced.
     """
     need(docs, id_col, text_col, site_col)
-    docs = without(docs, "n_lines", "n_removed", "__doc", "gone")
+    docs = without(docs, "n_lines", "n_removed", "__doc", "__gone")
     text = F.col(text_col)
     key = F.xxhash64(F.col(id_col), text)
     parts = F.split(text, "\n", -1)
@@ -68,12 +68,12 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     lines = lines.where(F.length("line") >= min_chars).select("doc", "id", "site", "pos", F.xxhash64("line").alias("hash"))
     wide = site_counts(lines.select("hash", "id", "site"), min_sites, lg_k, margin)
     wide = save(wide.where("first_id is not null").select("hash", "first_id"), "boilerplate")
-    hits = lines.join(wide, "hash").where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    hits = lines.join(wide, "hash").where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     out = docs.withColumn("__doc", key).join(hits.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("gone"), s["i"]))
-    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    kept = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("__gone"), s["i"]))
+    clean = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     n_lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.size(parts))
     return out.select(
         *[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        n_lines.cast("int").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("int").alias("n_removed"),
+        n_lines.cast("int").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("int").alias("n_removed"),
     )

@@ -53,7 +53,7 @@ def units(text: str) -> set[str]:
     """The words of a text in lower case without marks around them, spelt-out ones joined; long ones in overlapping windows."""
     low = text.lower()
     words = {w.strip(_TRIM) for w in set(low.split())}
-    words.update(m.group().replace(" ", "") for m in _SPELT.finditer(low))
+    words.update(m.group().replace(" ", "").strip(_TRIM) for m in _SPELT.finditer(low))
     out = set()
     for w in words:
         if len(w) <= WIDTH - 2:
