@@ -38,17 +38,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", remember: int | None = None) -> DataFrame:
     """Pieces of every document: ``id_col, piece, start, length, ids``.
 
     ``ids`` holds little-endian unsigned 32-bit integers.  A null or empty text
     has no tokens besides ``end_id``; without ``end_id`` it gives no piece.  A
-    null id is kept.  Repeated rows give repeated pieces.
+    null id is kept.  Repeated rows give repeated pieces.  ``remember`` bounds the
+    words that a worker keeps: more of them cost memory and save time.
     """
     need(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = id_encoder(tokenizer_path)
+        encode = id_encoder(tokenizer_path, remember)
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -4,7 +4,7 @@ The pre-token patterns of byte-level BPE always end a token before a lone space
 and on both sides of a lone line feed that stand between two visible
 characters.  So a text may be cut there, each part encoded by itself, and the
 ids put together: the result is that of the whole text.  Parts recur (they are
-mostly words); each worker keeps the ids of up to ``REMEMBERED`` short parts.
+mostly words); each worker keeps the ids of a bounded number of short parts.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ class WordCache:
     becomes the old one, and what is used again moves on to the next.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]]):
-        self.encode_new, self.seen, self.old = encode_new, {}, {}
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], remember: int | None = None):
+        self.encode_new, self.remember, self.seen, self.old = encode_new, remember or REMEMBERED, {}, {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [k for k, t in enumerate(texts) if "\0" in t]
@@ -79,7 +79,7 @@ class WordCache:
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """The ids of different parts."""
-        if len(self.seen) > REMEMBERED // 2:
+        if len(self.seen) > self.remember // 2:
             self.seen, self.old = {}, self.seen
         seen, old = self.seen, self.old
         found = list(map(seen.get, parts))
@@ -126,13 +126,13 @@ class Joined:
         return [out[p] for p in parts]
 
 
-def id_encoder(path: str) -> WordCache:
-    """The worker's encoder by the ``tokenizers`` file at ``path``, without added special tokens."""
+def id_encoder(path: str, remember: int | None = None) -> WordCache:
+    """The worker's encoder by the ``tokenizers`` file at ``path``, without added special tokens; it keeps ``remember`` parts (some 200 bytes each)."""
 
     def build() -> WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        return WordCache(Joined(Tokenizer.from_file(path)))
+        return WordCache(Joined(Tokenizer.from_file(path)), remember)
 
-    return hold(("ids", path), build)
+    return hold(("ids", path, remember), build)
