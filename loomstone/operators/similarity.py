@@ -21,6 +21,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), SEPARATORS), lambda x: x != "")
 
 
+def has_token(c: Column) -> Column:
+    """Cheaper than counting tokens, which a filter would compute once more."""
+    return F.lower(c).rlike("[a-zA-Z0-9]")
+
+
 def joined_field(field: str) -> Column:
     """A field, or two joined by ``+``; null where a part is null or blank."""
     parts = field.split("+")
@@ -32,15 +37,15 @@ def joined_field(field: str) -> Column:
 
 def exact_groups(df: DataFrame, text: Column, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
     """``id, rep, copies``: for each row with tokens the first row (by ``ord``) with the same token sequence, and how many there are."""
-    t = df.select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), tokens(text).alias("t")).where(F.size("t") > 0)
-    t = t.select("id", "ord", F.md5(F.array_join("t", " ")).alias("h"))
+    joined = F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))  # the tokens with one space between
+    t = df.where(has_token(text)).select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), F.md5(joined).alias("h"))
     g = t.groupBy("h").agg(F.min_by("id", "ord").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return t.join(g, "h").select("id", "rep", "copies")
 
 
 def classes(df: DataFrame, text: Column, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(members: ``id, class``; sets: ``class, copies, t``) of rows that have tokens. A class is named by its smallest id."""
-    t = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("t")).where(F.size("t") > 0)
+    t = df.where(has_token(text)).select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens(text))).alias("t"))
     t = t.withColumn("h", F.md5(F.array_join("t", " ")))
     g = keep(t.groupBy("h").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"), F.first("t").alias("t")), "sets")
     return t.select("id", "h").join(g.select("h", "class"), "h").select("id", "class"), g.select("class", "copies", "t")
