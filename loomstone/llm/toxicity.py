@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import hold
-from .shared import bounded, fold, map_text, need
+from .shared import bounded, fold, map_text, need, save
 
 DECAY, REACH, WIDTH, STRIDE = 0.5, 3, 14, 5
 REMEMBERED, HARD_ROUNDS = 500_000, 3
@@ -238,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
 
         sentences = rows.select(F.explode(F.split("text", SENTENCE_END)).alias("sentence"), "__y").groupBy("sentence").agg(F.min("__y").alias("y"))
         uses = sentences.mapInArrow(words, "word string, before string, y int").where(F.length("word") > 4).groupBy("word", "before").agg(F.min("y").alias("y"))
-        each = uses.groupBy("word").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).cache()
+        # in few partitions, as each sends its best words to the driver; the labelled rows bound the table
+        each = save(uses.groupBy("word").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("all")).coalesce(8), "words")
         n = each.agg(F.sum("bad"), F.sum("all"), F.count(F.lit(1))).first()
         rate, total = min(0.5, max(float(n[0] or 0) / max(1, n[1] or 1), 1e-6)), n[2]
         gain = lambda part, of, base: F.when(part > 0, part * F.log(part / of / base)).otherwise(0.0)
@@ -266,7 +267,6 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
             hard = list(dict.fromkeys([*hard, *(r[0] for r in worst.select("word").collect())]))
             machine = train(bad, list(dict.fromkeys([*hard, *good])), letters, clean_marks=[*hard[:: max(1, len(hard) // 160)], *good[:96]])
         top = _evidence(rows, machine, ["__y"], "text").toPandas()
-        each.unpersist()
     finally:
         rows.unpersist()
     return Machine(machine.base, machine.table, machine.weight, machine.bias, _curve(top[["first", "second"]].to_numpy(float), top["__y"].to_numpy(int)))
