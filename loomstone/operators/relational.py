@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,14 @@ def prefix_ids(df: DataFrame, repo: Column) -> DataFrame:
     return df.withColumns({"id": F.concat_ws("/", repo, "id"), "to": F.transform("to", lambda x: F.concat_ws("/", repo, x))})
 
 
+def in_one_order(rows: DataFrame, repo: str = "repo", order: str = "ord") -> DataFrame:
+    """``order`` counts on from repository to repository (by name), so that it tells all rows apart. The offsets are one row a repository."""
+    spans = rows.groupBy(repo).agg((F.max(order) + 1).alias("span"))
+    before = F.sum("span").over(Window.orderBy(repo).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = spans.select(F.col(repo).alias("__repo"), F.coalesce(before, F.lit(0)).alias("__before"))
+    return rows.join(offsets, F.col(repo).eqNullSafe(F.col("__repo"))).withColumn(order, F.col(order) + F.col("__before")).drop("__repo", "__before")
+
+
 def ready_repositories(rows: DataFrame, info: DataFrame, name: str = "name", ready: str = "ready", repo: str = "repo") -> DataFrame:
     """Rows of repositories that ``info`` lists as ready; unknown ones are left out, one listed twice raises ValueError."""
     twice = info.groupBy(name).count().where("count > 1").select(name)
@@ -85,6 +93,17 @@ def contained_in(tests: DataFrame, predictions: DataFrame) -> DataFrame:
     return out.drop("__pid")
 
 
+def side_by_side(left: DataFrame, right: DataFrame, doc: str = "generated_summary", most: int = 1000) -> DataFrame:
+    """``id, code, left_doc, right_doc`` of the ids in both, the first ``most`` by ``ord``: a sheet for labelling. Different code or context raises ValueError."""
+    a = left.select("id", "ord", "code", "context", F.col(doc).alias("left_doc"))
+    b = right.select("id", F.col("code").alias("__code"), F.col("context").alias("__context"), F.col(doc).alias("right_doc"))
+    both = a.join(b, "id")
+    wrong = both.where(~F.col("code").eqNullSafe(F.col("__code")) | ~F.col("context").eqNullSafe(F.col("__context"))).take(1)
+    if wrong:
+        raise ValueError(f"{wrong[0]['id']} has different code or context on the two sides")
+    return both.orderBy("ord", "id").limit(most).select("id", "code", "left_doc", "right_doc")
+
+
 def verdict(c: Column) -> Column:
     """A judge's answer if it is one character, else ``N``."""
     return F.when(F.length(c) == 1, c).otherwise("N")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import filters, generate, graph, obfuscate, relational, similarity
+from ..operators import filters, generate, graph, judging, obfuscate, relational, similarity
+from ..sources import tables
 from ..store import keep
+from . import pipelines
 
 TEST, TRAIN, PATHS = ["SRC1"], ["src0", "src2", "src3", "src4"], ["/es/"]
 TEMPLATE = "Summarise.\n{context}\n----\n{code} {doc}"
@@ -226,12 +228,40 @@ def generated_flat(spark, sf_dir):
     return relational.prediction(out).select("id", "prompt_len", "generated_summary")
 
 
+def find_duplicates(spark, sf_dir):
+    return pipelines.find_duplicates(functions(spark, sf_dir)).select("field", "id", "class", "links")
+
+
+def rows_as_array(spark, sf_dir):
+    return tables.as_array(functions(spark, sf_dir), "test").select("split", "id", "ord")
+
+
+def one_order(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.col("o_orderpriority").alias("repo"), F.col("o_custkey").alias("ord"))
+    return relational.in_one_order(rows).select("o_orderkey", "ord")
+
+
+def claim_scores(spark, sf_dir):
+    says = lambda k: F.when(F.col("turn") % k == 0, "Yes, it does").otherwise("No")
+    claims = F.array(F.lit("it sorts"), F.lit("it frees"), F.lit("it locks"))
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", claims.alias("claims"), F.concat_ws("\n", says(2), says(3), "role").alias("response"))
+    answers = X.answers_by_question(judging.questions_of("claims", "Does it say that"), "response")
+    return c.select("conv_id", "turn", F.round(relational.pass_score(answers, F.col("claims")), 6).alias("score"))
+
+
+def paired_summaries(spark, sf_dir):
+    f = functions(spark, sf_dir).withColumn("generated_summary", F.concat("name", F.lit("."), "ord"))
+    again = f.withColumn("generated_summary", F.md5("doc"))
+    return relational.side_by_side(f, again).select("id", "left_doc", "right_doc")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         filter_first_fail, filter_histogram, clean_text, no_four_repeat, split_route, repo_info_join, exact_groups, similarity_links, similarity_pairs, similarity_statistics, neighbour_lists, similarity_histogram, leak_free_train, greedy_dedup, callee_context,
         closure_depth2, closure_full, prune_to, referentially_closed, schedule, verbosity, triviality, partial_ratio, obfuscated, win_rate, score_register, metrics_merge, prompt_render, predict_short, variables, enclosed, comments_removed, substring_copy,
-        dict_to_array, generated_flat,
+        dict_to_array, generated_flat, find_duplicates, rows_as_array, one_order, claim_scores, paired_summaries,
     )
 }
 
@@ -284,5 +314,16 @@ ORACLE_SQL = {
     "predict_short": "SELECT CAST(doc_id AS VARCHAR) AS id, substr(text, 1, 20) AS prompt, substr(text, 21) AS generated_summary FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
     "variables": r"""WITH w AS (SELECT page_id, list_sort(list_distinct(list_filter(regexp_split_to_array(html, '[\s*(),;&\[\]\-!=><''`"%:/.]+'), lambda x: contains(x, '_') AND x <> '_' AND NOT regexp_matches(x, '\p{Lu}|^\p{Nd}')))) AS l FROM pages)
         SELECT page_id, array_to_string(l, ',') AS names FROM w""",
+    "find_duplicates": rf"""WITH {_FUNCTIONS}, x AS (SELECT 'doc' AS field, id, doc AS v FROM f WHERE NOT vendor UNION ALL SELECT 'code', id, code FROM f WHERE NOT vendor UNION ALL SELECT 'doc+code', id, doc || chr(10) || code FROM f WHERE NOT vendor AND doc <> ''),
+        t AS (SELECT field, id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(v), '[^a-zA-Z0-9]+'), lambda x: x <> ''))) AS t FROM x WHERE v IS NOT NULL),
+        s AS (SELECT field, t, min(id) AS class, count(*) AS copies, len(t) AS n FROM t WHERE len(t) > 0 GROUP BY field, t),
+        p AS (SELECT x.field, x.class AS a, y.copies AS c FROM s x JOIN s y ON x.field = y.field AND x.class <> y.class AND y.n * 100 >= x.n * 90 AND x.n * 100 >= y.n * 90 AND len(list_intersect(x.t, y.t)) * 100 >= 90 * (x.n + y.n - len(list_intersect(x.t, y.t)))),
+        l AS (SELECT field, a, sum(c) AS near FROM p GROUP BY field, a)
+        SELECT t.field, t.id, s.class, CAST(s.copies - 1 + coalesce(near, 0) AS BIGINT) AS links FROM t JOIN s ON t.field = s.field AND t.t = s.t LEFT JOIN l ON l.field = s.field AND l.a = s.class""",
+    "rows_as_array": "SELECT 'test' AS split, CAST(doc_id AS VARCHAR) AS id, doc_id AS ord FROM documents",
+    "one_order": """WITH r AS (SELECT o_orderpriority AS p, max(o_custkey) + 1 AS span FROM orders GROUP BY ALL), b AS (SELECT p, coalesce(sum(span) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+        SELECT o_orderkey, CAST(o_custkey + before AS BIGINT) AS ord FROM orders JOIN b ON o_orderpriority = p""",
+    "claim_scores": "SELECT conv_id, turn, round((CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) / 3, 6) AS score FROM conversations",
+    "paired_summaries": f"WITH {_FUNCTIONS} SELECT id, name || '.' || ord AS left_doc, md5(doc) AS right_doc FROM f ORDER BY ord, id LIMIT 1000",
     "dict_to_array": "SELECT conv_id, string_agg(role, '|' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id",
 }

@@ -7,16 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import filters, generate, graph, obfuscate, relational, similarity
+from ..operators import filters, generate, graph, judging, obfuscate, relational, similarity
 from ..store import keep
 
 FIELDS = ("doc", "code", "doc+code")
 
 
+def merge(raw: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows of ready repositories, ids with their repository in front, in one order."""
+    return relational.in_one_order(relational.prefix_ids(relational.ready_repositories(raw, info), F.col("repo")))
+
+
+def find_duplicates(rows: DataFrame, percent: int = 90, use_vendor: bool = False, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``field, id, class, links`` of every row that has the field, and the classes' ``nearest`` others with their similarity.
+
+    Copies of a row are in its class; two rows are neighbours if they share a
+    class or if one's class is among the other's nearest.
+    """
+    if not use_vendor:
+        rows = rows.where(~filters.flag("vendor"))
+    out = None
+    for field in fields:
+        members, sets = similarity.classes(rows, similarity.joined_field(field))
+        members, pairs = keep(members, "members"), keep(similarity.similar_classes(sets, percent), "pairs")
+        found = similarity.neighbours(members, sets, pairs).join(similarity.neighbour_lists(pairs), "class", "left")
+        found = found.select(F.lit(field).alias("field"), "id", "class", "links", "nearest")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def merge_and_dedup(raw: DataFrame, info: DataFrame, benchmark: DataFrame, train: list[str], test: list[str], test_paths: list[str], percent: int = 90) -> DataFrame:
     """Ready repositories, routed to splits; train rows similar to test rows leave; test is what the benchmark reaches."""
-    rows = relational.ready_repositories(raw, info)
-    rows = keep(relational.route(relational.prefix_ids(rows, F.col("repo")), train, test, test_paths), "routed")
+    rows = keep(relational.route(merge(raw, info), train, test, test_paths), "routed")
     tests = rows.where("split = 'test'")
     kept = similarity.without_leaks(rows.where("split = 'train'"), tests, [similarity.joined_field(f) for f in FIELDS], percent)
     relational.keep_benchmark(tests, benchmark)
@@ -76,3 +98,23 @@ def evaluate(rows: DataFrame, doc: str = "generated_summary") -> DataFrame:
     if "split" in rows.columns and rows.where("split = 'train'").take(1):
         raise ValueError("train rows are not evaluated")
     return M.with_metrics(rows, {"Verbosity": "Verbosity_auto", "Triviality": "Triviality_auto"}, doc)
+
+
+def review_facts(rows: DataFrame, judge: generate.TextGenerator, doc: str = "generated_summary", budget: int = 21) -> DataFrame:
+    """Adds the judge's review of each summary; refuses ``budget`` rows or more before any call."""
+    return keep(judging.review_facts(relational.within_budget(rows, budget), judge, doc), "reviews")
+
+
+def compare(anchor: DataFrame, base: DataFrame, judge: generate.TextGenerator, anchor_name: str, base_name: str, doc: str = "generated_summary", budget: int = 21) -> DataFrame:
+    """One row of statistics: which of two sets of summaries the judge finds more complete."""
+    verdicts = judging.compare_pairs(anchor, relational.within_budget(base, budget), judge, doc)
+    return judging.comparison_statistics(verdicts, anchor_name, base_name)
+
+
+def question(tests: DataFrame, predictions: DataFrame, judge: generate.TextGenerator, doc: str = "generated_summary") -> tuple[DataFrame, DataFrame]:
+    """(rows with answers and scores, register): claims a summary should make and facts it must not state."""
+    rows = relational.contained_in(tests, predictions)
+    rows = judging.ask_claims(rows, judge, "sufficiency_claims", "Yes", doc)
+    rows = judging.ask_claims(rows, judge, "illegal_facts", "No", doc)
+    results = judging.claim_results(rows, "sufficiency_claims", "Yes").unionByName(judging.claim_results(rows, "illegal_facts", "No"))
+    return rows, relational.score_register(results)

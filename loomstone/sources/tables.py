@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.relational import keep_benchmark
+
 FLAGS = ("system", "macro", "macro_exp", "vendor", "non_function", "decl")
 FUNCTION = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("id", "name", "path", "doc", "code", "context", "macro_code", "synth_doc")]
@@ -58,6 +60,36 @@ def read_columns(spark: SparkSession, path: str, columns: list[str], head: int |
     return rows.orderBy("ord").limit(head) if head is not None else rows
 
 
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A table by the ending of its path: ``.json`` in any of the layouts above, ``.jsonl`` one row a line, else Parquet."""
+    if path.endswith(".jsonl"):
+        return spark.read.json(path)
+    if not path.endswith(".json"):
+        return spark.read.parquet(path)
+    keys = F.filter(F.json_object_keys("value"), lambda k: ~k.isin("train", "test"))
+    text = spark.read.text(path, wholetext=True).where(~F.ltrim("value").startswith("["))
+    by_split = text.where((F.size(keys) == 0) & F.get_json_object("value", "$.train").isNotNull()).take(1)
+    return read_splits(spark, path) if by_split else read_functions(spark, path)
+
+
+def write_rows(df: DataFrame, path: str, over: bool = False) -> None:
+    """``.json`` and ``.jsonl``: a folder of JSON lines; else Parquet. Fails if ``path`` is there, unless ``over``."""
+    (write_over if over else write_new)(df, path, "json" if path.endswith((".json", ".jsonl")) else "parquet")
+
+
+def as_array(df: DataFrame, key: str = "test") -> DataFrame:
+    """Rows as a list under ``key``: in order, with their id first and ``split`` naming the list. The whole is sorted over all partitions."""
+    return df.drop("split").withColumn("split", F.lit(key)).orderBy("ord", "id").select("split", "id", *[c for c in df.columns if c not in ("split", "id")])
+
+
+def write_predictions(df: DataFrame, benchmark: DataFrame, full: str, short: str) -> None:
+    """All rows to ``full``; to ``short`` those of the benchmark outside ``train``. A name that differs from the benchmark's raises ValueError before anything is written."""
+    tests = df.where("split <> 'train'") if "split" in df.columns else df
+    marked = keep_benchmark(tests, benchmark)
+    write_rows(df, full, over=True)
+    write_rows(marked, short, over=True)
+
+
 def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Fails if ``path`` is there already."""
     df.write.format(kind).mode("errorifexists").save(path)
