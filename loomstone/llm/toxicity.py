@@ -19,15 +19,21 @@ machine is fitted there.  As the machine is a weighted sum of kernels to
 landmarks, those fold into one weight for each of the 2^18 subsequences: scoring
 a word needs no landmark any more and gives the same value.
 
-A sentence is as toxic as its worst word, a document as its worst sentence; a
-logistic curve through its two highest values gives the score.
+A sentence is as toxic as its worst word, a document as its worst sentence.  Two
+logistic curves give the score, the higher one counts.  The first goes through the
+document's two highest values: of words that clean documents hold too, one is no
+proof and two are.  The second goes through the highest value of a machine of its
+own, which knows only the insults whose like next to no clean document holds (and
+forms of them with a character put in or marks between the letters): one of those
+is enough, however often it is repeated.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,8 @@ from .shared import bounded, fold, map_text, need, save
 
 DECAY, REACH, WIDTH, STRIDE = 0.5, 3, 14, 5
 REMEMBERED, HARD_ROUNDS = 500_000, 3
+#: Words are akin from this kernel value on; an insult is proof if at most this share of the documents with a word akin to it is clean.
+AKIN, DOUBT = 0.5, 0.05
 BITS = 6
 CODES = 1 << 3 * BITS
 START, END = "\x02", "\x03"  # a word's edges count as letters
@@ -114,22 +122,39 @@ class Machine:
     weight: np.ndarray | None = None  # per subsequence: the landmarks, folded
     bias: float = 0.0
     curve: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of the two highest values, and the constant
+    proof: np.ndarray | None = None  # as ``weight``, of the insults that are proof by themselves
+    proof_bias: float = 0.0
+    proof_curve: tuple[float, float] = (0.0, -40.0)  # of the highest of their values, and the constant
 
     def values(self, words: list[str]) -> np.ndarray:
         """Decision values; a word with no likeness to the toxic side has the bias alone."""
+        return self._decide(words, (self.weight, self.bias))[0]
+
+    def both(self, words: list[str]) -> list[np.ndarray]:
+        """Decision values, and those of the machine of proofs."""
+        if self.proof is None:
+            return [self.values(words), np.full(len(words), self.proof_bias)]
+        return self._decide(words, (self.weight, self.bias), (self.proof, self.proof_bias))
+
+    def _decide(self, words: list[str], *sides: tuple[np.ndarray, float]) -> list[np.ndarray]:
         if not words:
-            return np.zeros(0)
+            return [np.zeros(0) for _ in sides]
         codes, weights = features(words, self.table)
-        raw = self.weight[codes] @ weights
-        out, near = np.full(len(words), self.bias), np.flatnonzero(raw > 0)
-        if len(near):
-            out[near] += raw[near] / np.maximum(norms(codes[near], weights), 1e-9)
+        raw = [weight[codes] @ weights for weight, _ in sides]
+        near = np.flatnonzero(np.max(raw, axis=0) > 0)
+        size = np.maximum(norms(codes[near], weights), 1e-9) if len(near) else np.ones(0)
+        out = [np.full(len(words), bias) for _, bias in sides]
+        for o, r in zip(out, raw, strict=True):
+            o[near] += np.maximum(r[near], 0) / size
         return out
 
+    def logits(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the two highest values and by the highest proof; ``top``: these three columns."""
+        return top[:, 0] * self.curve[0] + top[:, 1] * self.curve[1] + self.curve[2], top[:, 2] * self.proof_curve[0] + self.proof_curve[1]
+
     def probability(self, top: np.ndarray) -> np.ndarray:
-        """``top``: two columns."""
-        z = top[:, 0] * self.curve[0] + top[:, 1] * self.curve[1] + self.curve[2]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        """``top``: three columns, as :func:`tops` gives them."""
+        return 1 / (1 + np.exp(-np.clip(np.maximum(*self.logits(top)), -40, 40)))
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -178,25 +203,68 @@ def train(toxic: list[str], clean: list[str], letters: str, clean_marks: list[st
     return Machine(0.5, table, weight, bias)
 
 
+class Kin:
+    """The kernel of words with each of ``bad``."""
+
+    def __init__(self, bad: list[str], table: np.ndarray) -> None:
+        self.n, self.table, held = len(bad), table, {}
+        for k, own in enumerate(self._profiles(bad)):
+            for c, x in own.items():
+                held.setdefault(c, []).append((k, x))
+        self.held = {c: (np.array([k for k, _ in at]), np.array([x for _, x in at])) for c, at in held.items()}
+
+    def _profiles(self, words: list[str]) -> Iterator[dict[int, float]]:
+        codes, weights = features(words, self.table)
+        for row, size in zip(codes, np.maximum(norms(codes, weights), 1e-9), strict=True):
+            own: dict[int, float] = {}
+            for c, x in zip(row.tolist(), (weights / size).tolist(), strict=True):
+                if c:
+                    own[c] = own.get(c, 0.0) + x
+            yield own
+
+    def of(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.n))
+        for o, own in zip(out, self._profiles(words), strict=True):
+            for c, x in own.items():
+                if c in self.held:
+                    at, y = self.held[c]
+                    o[at] += x * y
+        return out
+
+
+def disguised(words: list[str], letters: str) -> list[str]:
+    """Forms of whole words with one of ``letters`` put in (three at each place) and with marks between their letters, mixed by a hash."""
+    out = set()
+    for w in (u.strip(START + END) for u in words if u[0] == START and u[-1] == END):
+        for at in range(1, len(w)):
+            for k in range(3):
+                out |= units(w[:at] + letters[zlib.crc32(f"{w} {at} {k}".encode()) % len(letters)] + w[at:])
+        out |= units("-".join(w))
+    return sorted(out - set(words), key=lambda w: (zlib.crc32(w.encode()), w))
+
+
 def tops(texts: list[str], machine: Machine) -> tuple[np.ndarray, list[str | None]]:
-    """Of each text the two highest values of its words, and the word that had the highest."""
-    seen = hold(("toxicity", machine.bias, machine.weight.sum(), np.abs(machine.weight).sum()), dict)  # word -> value
+    """Of each text the two highest values of its words and the highest proof, and the word that decided the score."""
+    seen = hold(("toxicity", machine.bias, machine.weight.sum(), np.abs(machine.weight).sum(), machine.proof_bias), dict)  # word -> its two values
     each = [units(t) for t in texts]
     new = list({w for ws in each for w in ws if w not in seen})
     if len(seen) + len(new) > REMEMBERED:
         seen.clear()
         new = list({w for ws in each for w in ws})
     for at in range(0, len(new), 4096):
-        seen.update(zip(new[at : at + 4096], machine.values(new[at : at + 4096]).tolist(), strict=True))
-    out, which = np.full((len(texts), 2), machine.bias), []
+        value, proof = machine.both(new[at : at + 4096])
+        seen.update(zip(new[at : at + 4096], zip(value.tolist(), proof.tolist(), strict=True), strict=True))
+    out, words = np.tile([machine.bias, machine.bias, machine.proof_bias], (len(texts), 1)), []
     for k, ws in enumerate(each):
         if not ws:
-            which.append(None)
+            words.append((None, None))
             continue
-        best = max(ws, key=lambda w: (seen[w], w))
-        out[k] = seen[best], max((seen[w] for w in ws if w != best), default=machine.bias)
-        which.append(best.strip(START + END))
-    return out, which
+        best = max(ws, key=lambda w: (seen[w][0], w))
+        proof = max(ws, key=lambda w: (seen[w][1], w))
+        out[k] = seen[best][0], max((seen[w][0] for w in ws if w != best), default=machine.bias), seen[proof][1]
+        words.append((best.strip(START + END), proof.strip(START + END)))
+    by_two, by_one = machine.logits(out)
+    return out, [w[int(one)] for w, one in zip(words, by_one > by_two, strict=True)]
 
 
 def _evidence(docs: DataFrame, machine: Machine, carry: list[str], text_col: str) -> DataFrame:
@@ -207,11 +275,11 @@ def _evidence(docs: DataFrame, machine: Machine, carry: list[str], text_col: str
 
         def run(texts: list[str | None]) -> list[pa.Array]:
             top, which = tops([t or "" for t in texts], m)
-            return [pa.array(top[:, 0]), pa.array(top[:, 1]), pa.array(which, pa.string())]
+            return [*(pa.array(top[:, k]) for k in range(3)), pa.array(which, pa.string())]
 
         return run
 
-    return map_text(docs, text_col, carry, [("first", "double"), ("second", "double"), ("evidence", "string")], make)
+    return map_text(docs, text_col, carry, [("first", "double"), ("second", "double"), ("proof", "double"), ("evidence", "string")], make)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 8_000, max_words: int = 1_500, max_clean_words: int = 6_000) -> Machine:
@@ -266,10 +334,51 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
             worst = fair.select("word").mapInArrow(near, "word string, value double").orderBy(F.desc("value"), "word").limit(max_clean_words // 6)
             hard = list(dict.fromkeys([*hard, *(r[0] for r in worst.select("word").collect())]))
             machine = train(bad, list(dict.fromkeys([*hard, *good])), letters, clean_marks=[*hard[:: max(1, len(hard) // 160)], *good[:96]])
+        proofs = _proofs(rows, machine, bad)
+        shown: list[str] = []
+        if proofs:
+            forms = docs.sparkSession.createDataFrame([(w,) for w in disguised(proofs, letters)[: 2 * max_words]] or [("",)], "word string")
+            clean_forms = {r[0] for r in each.where(F.col("bad") < F.col("all")).join(F.broadcast(forms), "word", "left_semi").collect()}
+            shown = [*proofs, *(r[0] for r in forms.collect() if r[0] and r[0] not in clean_forms)]
+            other = [w for w in bad if w not in set(proofs)]
+            marks = [*other[:: max(1, len(other) // 64)], *hard[:: max(1, len(hard) // 160)], *good[:96]]
+            alone = train(shown, list(dict.fromkeys([*other, *hard, *good])), letters, clean_marks=marks, landmarks=384)
+            machine = replace(machine, proof=alone.weight, proof_bias=alone.bias)
         top = _evidence(rows, machine, ["__y"], "text").toPandas()
     finally:
         rows.unpersist()
-    return Machine(machine.base, machine.table, machine.weight, machine.bias, _curve(top[["first", "second"]].to_numpy(float), top["__y"].to_numpy(int)))
+    y = top["__y"].to_numpy(int)
+    machine = replace(machine, curve=_curve(top[["first", "second"]].to_numpy(float), y))
+    if machine.proof is None:
+        return machine
+    # words against the highest of each clean document: toxic ones without a proof say nothing of the proofs
+    word, best = machine.both(shown)[1], top["proof"].to_numpy(float)[y == 0]
+    x = np.concatenate([word, best])
+    slope, _, at = _curve(np.stack([x, np.zeros(len(x))], 1), np.array([1] * len(word) + [0] * len(best)))
+    return replace(machine, proof_curve=(slope, at)) if slope > 0 else machine
+
+
+def _proofs(rows: DataFrame, machine: Machine, bad: list[str]) -> list[str]:
+    """Those of ``bad`` whose like (words the machine takes for insults, ``AKIN`` to them) is in hardly any clean document; equal texts count once."""
+
+    def count(batches: Iterator[pa.RecordBatch], m: Machine = machine) -> Iterator[pa.RecordBatch]:
+        kin, n, akin = Kin(bad, m.table), np.zeros((2, len(bad)), dtype=np.int64), {}
+        for b in batches:
+            for part in (b.slice(at, 256) for at in range(0, b.num_rows, 256)):
+                each = [units(t) for t in part.column(0).to_pylist()]
+                new = list({w for ws in each for w in ws if w not in akin})
+                akin.update(dict.fromkeys(new))
+                high = [w for at in range(0, len(new), 4096) for w, v in zip(new[at : at + 4096], m.values(new[at : at + 4096]), strict=True) if v > 0]
+                akin.update(zip(high, (np.flatnonzero(k >= AKIN) for w in high for k in kin.of([w])), strict=True))
+                for ws, y in zip(each, part.column(1).to_pylist(), strict=True):
+                    met = [akin[w] for w in ws if akin[w] is not None]
+                    if met:
+                        n[y, np.unique(np.concatenate(met))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(bad)), pa.int32()), pa.array(n[0]), pa.array(n[1])], names=["k", "clean", "toxic"])
+
+    found = rows.select("text", "__y").distinct().coalesce(8).mapInArrow(count, "k int, clean long, toxic long").groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    keep = {r["k"] for r in found.where((F.col("toxic") > 0) & (F.col("clean") <= DOUBT * (F.col("clean") + F.col("toxic")))).collect()}
+    return [w for k, w in enumerate(bad) if k in keep]
 
 
 def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float, float]:
@@ -294,7 +403,8 @@ def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
     if machine.weight is None:
         return docs.select(id_col, F.lit(float(machine.base)).alias("score"), F.lit(None).cast("string").alias("evidence"))
     a, b, c = machine.curve
-    z = F.col("first") * a + F.col("second") * b + c
+    slope, at = machine.proof_curve
+    z = F.greatest(F.col("first") * a + F.col("second") * b + c, F.col("proof") * slope + at)
     return _evidence(docs, machine, [id_col], text_col).select(id_col, (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score"), "evidence")
 
 

@@ -130,6 +130,22 @@ def test_held_out_labels(spark, query, label, wrong):
     assert (out["predicted"] != out[label]).mean() <= wrong
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="the driver's tables are not here")
+def test_one_insult_is_enough(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.fit(docs, labels, ~toxicity.toxicity_fold())
+    held = docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.toxicity_fold() & F.col("text").isNotNull()).orderBy("doc_id").select("text").toPandas()["text"].tolist()
+    toxic = lambda texts: (machine.probability(toxicity.tops(texts, machine)[0]) >= queries.TOXIC).mean()
+    assert len(held) > 500 and toxic(held) <= 0.02
+    for w in ("idiot", "moron", "scum", "pathetic", "disgusting"):
+        for form in (w, w.upper() + "!", " ".join(w), "-".join(w), f"{w[:2]}*{w[2:]}"):
+            assert toxic([f"{t} {form} ." for t in held]) >= 0.99, form
+        assert toxic([f"{t} {w}. {w} {w}!" for t in held]) >= 0.99
+        assert toxicity.tops([f"a plain text {w}"], machine)[1] == [w]
+    longer = [f"{w[:at]}{c}{w[at:]}" for w in ("pathetic", "disgusting", "worthless") for at in range(2, len(w) - 1) for c in "xk"]
+    assert toxic([f"{held[0]} {w}" for w in longer]) >= 0.9
+
+
 @there
 def test_held_out_languages(spark):
     out = queries.op2_language_id(spark, DATA).where("held_out").join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
