@@ -105,12 +105,23 @@ def pair_statistics(members: DataFrame, sets: DataFrame, pairs: DataFrame) -> Da
     return own.crossJoin(across).crossJoin(near).select((F.col("equal") + F.col("across")).alias("pairs"), "equal", "with_neighbour", "items")  # one row each
 
 
-def histogram(values: DataFrame, column: str, bins: int = 10, width: int = 40) -> DataFrame:
-    """``bin, low, n, bar``: equal bins from the least to the greatest value (the last one closed), bars scaled to ``width``. No values give no rows."""
+def row_pair_values(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``v, weight``: the similarity in percent and the number of pairs of rows that have it, by pair of classes and, at 100, by class with copies."""
+    size = sets.select("class", F.col("copies").cast("long").alias("n"))
+    across = pairs.join(size.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
+    across = across.select((F.col("both") * 100 / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("v"), (F.col("na") * F.col("nb")).alias("weight"))
+    return across.union(size.where("n > 1").select(F.lit(100.0), F.expr("n * (n - 1) div 2")))
+
+
+def histogram(values: DataFrame, column: str, bins: int = 10, width: int = 40, weight: str | None = None) -> DataFrame:
+    """``bin, low, n, bar``: equal bins from the least to the greatest value (the last one closed), bars scaled to ``width``. No values give no rows.
+
+    A row counts once, or as often as its column ``weight`` says.
+    """
     span = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo is not null")
     lo, step = F.col("lo"), (F.col("hi") - F.col("lo")) / bins
     at = F.when(step == 0, F.lit(bins // 2)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(column) - lo) / step)))
-    counted = values.crossJoin(F.broadcast(span)).groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # span is one row
+    counted = values.crossJoin(F.broadcast(span)).groupBy(at.cast("int").alias("bin")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))  # span is one row
     every = span.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(counted, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     most = every.agg(F.max("n").alias("most"))
     return every.crossJoin(F.broadcast(most)).select("bin", F.round(lo + F.col("bin") * step, 6).alias("low"), "n", F.floor(F.col("n") * width / F.col("most")).cast("int").alias("bar"))

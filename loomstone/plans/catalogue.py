@@ -107,10 +107,17 @@ def neighbour_lists(spark, sf_dir):
 
 
 def similarity_histogram(spark, sf_dir):
+    """Of pairs of different sets, each once; ``similarity_row_histogram`` is of all pairs of rows."""
     values = _similar(spark, sf_dir)[2].select((F.col("both") * 100 / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("v"))
     return similarity.histogram(values, "v").select("bin", "n", "bar")
 
 
+def similarity_row_histogram(spark, sf_dir):
+    """Of all pairs of similar rows, copies among them, as the reference prints it."""
+    _, sets, pairs = _similar(spark, sf_dir)
+    return similarity.histogram(similarity.row_pair_values(sets, pairs), "v", weight="weight").select("bin", "n", "bar")
+
+
 _SETS = r"""t AS (SELECT doc_id AS id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), lambda x: x <> ''))) AS t FROM documents WHERE text IS NOT NULL),
     s AS (SELECT t, min(id) AS class, count(*) AS copies, len(t) AS n FROM t WHERE len(t) > 0 GROUP BY t),
     q AS (SELECT x.class AS a, y.class AS b, x.n AS na, y.n AS nb, x.copies AS ca, y.copies AS cb, len(list_intersect(x.t, y.t)) AS o FROM s x JOIN s y ON x.class < y.class AND y.n * 100 >= x.n * 90 AND x.n * 100 >= y.n * 90),
@@ -259,7 +266,7 @@ def paired_summaries(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        filter_first_fail, filter_histogram, clean_text, no_four_repeat, split_route, repo_info_join, exact_groups, similarity_links, similarity_pairs, similarity_statistics, neighbour_lists, similarity_histogram, leak_free_train, greedy_dedup, callee_context,
+        filter_first_fail, filter_histogram, clean_text, no_four_repeat, split_route, repo_info_join, exact_groups, similarity_links, similarity_pairs, similarity_statistics, neighbour_lists, similarity_histogram, similarity_row_histogram, leak_free_train, greedy_dedup, callee_context,
         closure_depth2, closure_full, prune_to, referentially_closed, schedule, verbosity, triviality, partial_ratio, obfuscated, win_rate, score_register, metrics_merge, prompt_render, predict_short, variables, enclosed, comments_removed, substring_copy,
         dict_to_array, generated_flat, find_duplicates, rows_as_array, one_order, claim_scores, paired_summaries,
     )
@@ -290,6 +297,10 @@ ORACLE_SQL = {
         c AS (SELECT CASE WHEN hi = lo THEN 5 ELSE least(9, CAST(floor((v - lo) / ((hi - lo) / 10)) AS INTEGER)) END AS bin FROM v, m),
         n AS (SELECT CAST(i AS INTEGER) AS bin, count(c.bin) AS n FROM range(0, 10) r(i) LEFT JOIN c ON c.bin = i GROUP BY i)
         SELECT bin, n, CAST(floor(n * 40 / (SELECT max(n) FROM n)) AS INTEGER) AS bar FROM n WHERE (SELECT count(*) FROM v) > 0""",
+    "similarity_row_histogram": f"""WITH {_SETS}, v AS (SELECT o * 100 / (na + nb - o) AS v, ca * cb AS w FROM p UNION ALL SELECT 100, copies * (copies - 1) // 2 FROM s WHERE copies > 1), m AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+        c AS (SELECT CASE WHEN hi = lo THEN 5 ELSE least(9, CAST(floor((v - lo) / ((hi - lo) / 10)) AS INTEGER)) END AS bin, w FROM v, m),
+        n AS (SELECT CAST(i AS INTEGER) AS bin, CAST(coalesce(sum(c.w), 0) AS BIGINT) AS n FROM range(0, 10) r(i) LEFT JOIN c ON c.bin = i GROUP BY i)
+        SELECT bin, n, CAST(floor(n * 40 / (SELECT max(n) FROM n)) AS INTEGER) AS bar FROM n WHERE (SELECT count(*) FROM v) > 0""",
     "leak_free_train": r"""WITH x AS (SELECT doc_id AS id, 1 AS k, text FROM documents UNION ALL SELECT item_id, 0, text FROM benchmark),
         t AS (SELECT id, k, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), lambda x: x <> '')) AS t FROM x),
         leak AS (SELECT DISTINCT a.id FROM t a JOIN t b ON a.k = 1 AND b.k = 0 AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) * 100 >= 90 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))))

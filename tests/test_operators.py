@@ -125,6 +125,32 @@ def test_histogram_of_nothing_and_of_one_value(spark):
     assert sum(r["n"] for r in similarity.histogram(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").collect()) == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_histogram_of_row_pairs_against_all_pairs(spark, seed):
+    texts = some_texts(seed)
+    s = sets_of(texts)
+    members, sets = similarity.classes(rows_of(spark, texts).withColumn("id", F.col("ord")), F.col("doc"))
+    values = similarity.row_pair_values(sets, similarity.similar_classes(sets))
+    want = [len(a & b) * 100 / len(a | b) for i, a in enumerate(s) for b in s[:i] if near(a, b)]
+    got = values.groupBy(F.round("v", 6).alias("v")).agg(F.sum("weight")).collect()
+    assert dict(map(tuple, got)) == {v: sum(round(x, 6) == v for x in want) for v in {round(x, 6) for x in want}}
+    assert sum(x == 100 for x in want) > 0 and sum(r["n"] for r in similarity.histogram(values, "v", weight="weight").collect()) == len(want)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_registered_row_histogram(spark, folder):
+    import duckdb
+
+    from loomstone.plans import catalogue
+
+    path = f"/root/testdata/{folder}"
+    got = catalogue.QUERIES["similarity_row_histogram"](spark, path).collect()
+    assert sum(r["n"] for r in got) == catalogue.QUERIES["similarity_statistics"](spark, path).first()["pairs"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLE_SQL["similarity_row_histogram"]).fetchall())
+
+
 def test_filter_chain_fails_first(spark):
     row = ("x", 0, "ns::foo_", "p", "too short", "int f(int a) { return 1; }", "", [])
     f = spark.createDataFrame([row], "id string, ord long, name string, path string, doc string, code string, context string, to array<string>")
