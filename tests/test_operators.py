@@ -109,6 +109,15 @@ def test_greedy_dedup_against_a_loop(spark, seed):
     assert sorted(int(r["id"]) for r in got.where("kept").collect()) == kept
 
 
+def test_registered_greedy_dedup_sees_the_code(spark, tmp_path):
+    from loomstone.plans import catalogue
+
+    rows = [(0, None, "en", "src1"), (1, None, "en", "src1"), (2, None, "de", "src1"), (3, "some words", "en", "src2"), (4, "some words", "en", "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"] for r in catalogue.QUERIES["greedy_dedup"](spark, str(tmp_path)).where("kept").collect()}
+    assert got == {"0", "2", "3"}
+
+
 def test_leaks_and_groups(spark):
     ten = "a b c d e f g h i j"
     train, test = rows_of(spark, [ten, "a b c d e f g h i", "z", None]), rows_of(spark, [ten])
