@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import hold
-from .shared import bounded, fold, map_text, need
+from .shared import fold, map_text, need
 
 BITS = 15
 UNKNOWN = "und"
@@ -120,14 +120,15 @@ def predict(text: str | None, model: Languages) -> tuple[str, float, dict[str, f
 def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_labelled: int = 4_000) -> Languages:
     """Learns from ``text_col`` and non-null ``lang_col`` of rows where ``trainable`` holds.
 
-    Of more than ``max_labelled`` such rows the first by a hash of the id are
-    used, with their whole texts.  Each task sends one array of counts for each
-    language it met.
+    Of a language with more than ``max_labelled`` such rows about so many are
+    used, those with a small hash of the id; of any other all are. Texts are
+    whole.  Each task sends one array of counts for each language it met.
     """
     need(docs, text_col, lang_col, id_col)
-    rows = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    picked = bounded(rows.select(F.col("id").alias("id_")), max_labelled, F.xxhash64("id_"), F.col("id_")).dropDuplicates()
-    use = rows.join(F.broadcast(picked), F.col("id").eqNullSafe(F.col("id_")))  # at most max_labelled ids
+    rows = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)).alias("at"))
+    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least"))
+    bound = -(2.0**63) + 2.0**64 * max_labelled / F.col("n")  # no row less than one: ids may repeat
+    use = rows.join(F.broadcast(size), "lang").where((F.col("n") <= max_labelled) | F.col("at").isNull() | (F.col("at") == F.col("least")) | (F.col("at").cast("double") < bound))  # size has a row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -52,6 +52,17 @@ def test_language_edge_cases(spark):
     assert langid.language_id(docs.where("false"), model).count() == 0
 
 
+def test_rare_languages_are_learned_whole(spark):
+    texts = {"en": "the quick brown fox jumps over the lazy dog", "de": "der schnelle braune fuchs springt über den faulen hund"}
+    rows = [(k, texts["en"], "en") for k in range(2000)] + [(k, texts["de"], "de") for k in range(2000, 2004)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, want = langid.fit(docs, F.lit(True), max_labelled=20), model_of({"en": [texts["en"]], "de": [texts["de"]] * 4})
+    assert model.names == ("de", "en") and np.allclose(model.prob[:, 0], want.prob[:, 0])
+    assert langid.predict(texts["de"], model)[0] == "de" and langid.predict(texts["en"], model)[0] == "en"
+    one = langid.fit(docs.withColumn("doc_id", F.lit(7).cast("long")), F.lit(True), max_labelled=2)
+    assert one.names == langid.fit(docs.withColumn("doc_id", F.lit(None).cast("long")), F.lit(True), max_labelled=2).names == ("de", "en")
+
+
 def test_quality_edge_cases(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(3, 0, 0), (4, 1, None), (5, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
