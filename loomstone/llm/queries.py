@@ -74,7 +74,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         urn("page_id").alias("record_id"), "record_type", F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.when(F.col("record_type") == "revisit", urn("first_id")).alias("refers_to"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_length"), "payload",
     )
-    folder = warc.write_archives(records)
+    folder = warc.write_archives(records, compression="gzip")
     page = lambda c: F.regexp_extract(F.col(c), r"^urn:page:(.*)$", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
     # responses are measured by the payload itself; revisits have none, their header tells

@@ -5,21 +5,26 @@ files (which the writer leaves beside each archive) and so splits large archives
 at record boundaries; an archive without one is a partition of its own.  Filters
 on record type, id, target and the other header columns are pushed down: a
 record's header is parsed first, and the block of a record that is not wanted is
-skipped by a seek, neither read nor decoded.  With ``payload`` set to
-``false`` no payload is read at all.
+passed over.  An archive is read in one direction through a buffer
+(:class:`Plain`), so small records cost no request of their own, and what lies
+beyond the buffer is passed over by a seek.  With ``payload`` set to ``false``
+no payload is kept.
 
 Paths go through ``pyarrow.fs``, so archives may lie in any store it knows.
 Archives are written plain (``.warc``) or, with ``compression`` set to
 ``gzip``, as one gzip member for each record (``.warc.gz``), whose sizes the
-offset file holds.
+offset file holds: the members of unwanted records are inflated up to the end of
+the header and no further.  A ``.warc.gz`` of other origin has no such file, and
+where a gzip member ends is known only after inflating it; its unwanted blocks
+are inflated piece by piece, thrown away and never put together.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .shared import need, new_folder
+from .shared import free_name, need, new_folder, save, without
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -38,6 +43,10 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 WRITE_COLUMNS = ("record_id", "record_type", "target_uri", "date", "refers_to", "payload_digest", "payload_length", "payload")
 HEADER_OF = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 _WINDOW = 1 << 16
+_HEAD_END = b"\r\n\r\n"
+_MOVERS = 16  # files that a commit renames at a time
+#: Digests with copies that are broadcast at most (some 100 bytes each), and the rows from which a digest counts as hot beyond that.
+BROADCAST_ROWS, HOT_ROWS, SALTS = 200_000, 100_000, 256
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -110,6 +119,129 @@ class WarcSource(DataSource):
         return WarcWriter(self.options, overwrite)
 
 
+class Source:
+    """Bytes in one direction: ``more`` gives the next ones (none at the end), the rest looks ahead, takes and passes over."""
+
+    def __init__(self) -> None:
+        self.held, self.pos = b"", 0
+
+    def more(self, least: int) -> bytes:
+        raise NotImplementedError
+
+    def pass_over(self, n: int) -> None:
+        """Drops ``n`` bytes that are not held yet."""
+        while n > 0 and (got := self.more(1)):
+            if len(got) > n:
+                self.held, self.pos = got, n
+            n -= len(got)
+
+    def _hold(self, n: int) -> None:
+        have = len(self.held) - self.pos
+        if have >= n:
+            return
+        parts = [self.held[self.pos :]]
+        while have < n and (got := self.more(n - have)):
+            parts.append(got)
+            have += len(got)
+        self.held, self.pos = b"".join(parts), 0
+
+    def peek(self, n: int) -> bytes:
+        self._hold(n)
+        return self.held[self.pos : self.pos + n]
+
+    def take(self, n: int) -> bytes:
+        out = self.peek(n)
+        if len(out) < n:
+            raise ValueError("an archive ends inside a record")
+        self.pos += n
+        return out
+
+    def skip(self, n: int) -> None:
+        have = len(self.held) - self.pos
+        if have >= n:
+            self.pos += n
+        else:
+            self.held, self.pos = b"", 0
+            self.pass_over(n - have)
+
+    def head(self) -> bytes | None:
+        """The next header without its empty line; None at the end."""
+        while self.peek(2) == b"\r\n":  # more empty lines between records than the format asks for
+            self.pos += 2
+        look = _WINDOW
+        while (end := self.held.find(_HEAD_END, self.pos)) < 0:
+            before = len(self.held) - self.pos
+            self._hold(max(look, before + 1))
+            if len(self.held) - self.pos == before:
+                if before:
+                    raise ValueError("an archive ends inside a record's header")
+                return None
+            look *= 2
+        out = self.held[self.pos : end]
+        self.pos = end + 4
+        return out
+
+
+class Plain(Source):
+    """A file from ``at`` on, read ahead in windows; what lies beyond the window is passed over by a seek."""
+
+    def __init__(self, f, at: int = 0) -> None:
+        super().__init__()
+        self.f, self.next, self.size = f, at, f.size()
+        f.seek(at)
+
+    @property
+    def at(self) -> int:
+        return self.next - len(self.held) + self.pos
+
+    def more(self, least: int) -> bytes:
+        out = self.f.read(max(least, _WINDOW))
+        self.next += len(out)
+        return out
+
+    def pass_over(self, n: int) -> None:
+        self.next = min(self.size, self.next + n)
+        self.f.seek(self.next)
+
+
+class Held(Source):
+    """Bytes in memory."""
+
+    def __init__(self, data: bytes) -> None:
+        super().__init__()
+        self.held = data
+
+    def more(self, least: int) -> bytes:
+        return b""
+
+
+class Inflated(Source):
+    """What the gzip members of ``raw`` hold, inflated window by window."""
+
+    def __init__(self, raw: Source) -> None:
+        super().__init__()
+        self.raw, self.z = raw, None
+
+    def more(self, least: int) -> bytes:
+        while True:
+            data = b""
+            if self.z is None or self.z.eof:
+                data, self.z = self.z.unused_data if self.z else b"", None
+            else:
+                data = self.z.unconsumed_tail
+            if not data:
+                data = self.raw.peek(_WINDOW)
+                self.raw.skip(len(data))
+            if not data and self.z is None:
+                return b""
+            self.z = self.z or zlib.decompressobj(31)
+            out = self.z.decompress(data, max(least, _WINDOW))
+            if out:
+                return out
+            if not data and not self.z.eof:
+                raise ValueError("an archive ends inside a gzip member")
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() != "false"
@@ -165,62 +297,38 @@ class WarcReader(DataSourceReader):
             return
         fs, _ = filesystem(self.path)
         with fs.open_input_file(part.path) as f:
-            yield from self._gzip(f, part) if part.path.endswith(".gz") else self._plain(f, part.start, part.stop if part.stop is not None else f.size())
-
-    def _plain(self, f, at: int, stop: int) -> Iterator[tuple]:
-        while at < stop:
-            window, size = b"", _WINDOW
-            f.seek(at)
-            while (end := window.find(b"\r\n\r\n")) < 0:
-                more = f.read(size)
-                if not more:
-                    raise ValueError("an archive ends inside a record's header")
-                window += more
-            fields = parse_head(window[:end])
-            n = int(fields["Content-Length"])
-            row = self._row(fields)
-            if self.wanted(row):
-                block = window[end + 4 : end + 4 + n]
-                if len(block) < n and (self.payload or len(block) < 4096):
-                    f.seek(at + end + 4 + len(block))
-                    block += f.read(n - len(block) if self.payload else min(n, 4096) - len(block))
-                yield self._with_block(row, fields, block, n)
-            at += end + 4 + n + 4
-
-    def _gzip(self, f, part: Part) -> Iterator[tuple]:
-        f.seek(part.start)
-        if part.sizes:
-            for n in part.sizes:
-                yield from self._member(f.read(n))
-            return
-        rest = b""
-        while rest or (rest := f.read(_WINDOW)):
-            z, out = zlib.decompressobj(31), io.BytesIO()
-            while True:
-                out.write(z.decompress(rest))
-                rest = z.unused_data
-                if z.eof:
-                    break
-                rest = f.read(_WINDOW)
-                if not rest:
-                    raise ValueError("an archive ends inside a gzip member")
-            yield from self._record(out.getvalue())
-
-    def _member(self, data: bytes) -> Iterator[tuple]:
-        z = zlib.decompressobj(31)
-        head = z.decompress(data, 4096)
-        while (end := head.find(b"\r\n\r\n")) < 0 and z.unconsumed_tail:
-            head += z.decompress(z.unconsumed_tail, 4096)
-        if not self.wanted(self._row(parse_head(head[:end]))):
-            return  # the rest stays compressed
-        yield from self._record(head + z.decompress(z.unconsumed_tail))
-
-    def _record(self, data: bytes) -> Iterator[tuple]:
-        end = data.find(b"\r\n\r\n")
-        fields = parse_head(data[:end])
-        row, n = self._row(fields), int(fields["Content-Length"])
-        if self.wanted(row):
-            yield self._with_block(row, fields, data[end + 4 : end + 4 + n], n)
+            raw = Plain(f, part.start)
+            if part.sizes:
+                yield from self._members(raw, part.sizes)
+            elif part.path.endswith(".gz"):
+                yield from self._records(Inflated(raw), None)
+            else:
+                yield from self._records(raw, part.stop)
+
+    def _members(self, raw: Plain, sizes: tuple[int, ...]) -> Iterator[tuple]:
+        """Of gzip members of known size, those of wanted records."""
+        for n in sizes:
+            z = zlib.decompressobj(31)
+            start = z.decompress(raw.peek(min(n, _WINDOW)), 4096)
+            while (end := start.find(_HEAD_END)) < 0 and z.unconsumed_tail:
+                start += z.decompress(z.unconsumed_tail, 4096)
+            if end >= 0 and not self.wanted(self._row(parse_head(start[:end]))):
+                raw.skip(n)  # the rest stays compressed
+            else:
+                yield from self._records(Inflated(Held(raw.take(n))), None)
+
+    def _records(self, source: Source, stop: int | None) -> Iterator[tuple]:
+        """The wanted records of ``source`` that start before ``stop``."""
+        while (stop is None or source.at < stop) and (head := source.head()) is not None:
+            fields = parse_head(head)
+            row, n = self._row(fields), int(fields["Content-Length"])
+            if not self.wanted(row):
+                source.skip(n + 4)
+                continue
+            whole = self.payload and row["record_type"] != "revisit"
+            block = source.take(n) if whole else bytes(source.peek(min(n, _WINDOW)))
+            source.skip(4 if whole else n + 4)
+            yield self._with_block(row, fields, block, n)
 
     @staticmethod
     def _row(fields: dict[str, str]) -> dict:
@@ -243,10 +351,10 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes archives under names of its own; the commit gives those of successful tasks their final names."""
+    """Each task writes archives under names of its own; the commit gives those of successful tasks their final names and removes what failed attempts left."""
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.gzip = options["path"], options.get("compression", "none") == "gzip"
+        self.path, self.gzip, self.job = options["path"], options.get("compression", "none") == "gzip", uuid.uuid4().hex[:12]
         fs, root = filesystem(self.path)
         if overwrite and fs.get_file_info(root).type != pafs.FileType.NotFound:
             fs.delete_dir_contents(root)
@@ -254,7 +362,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Done:
         fs, root = filesystem(self.path)
-        name = f"{root.rstrip('/')}/part-{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}"
+        name = f"{root.rstrip('/')}/part-{self.job}-{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}"
         sizes: list[int] = []
         f = None
         for batch in iterator:
@@ -276,15 +384,22 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Done | None]) -> None:
         fs, _ = filesystem(self.path)
-        for m in messages:
-            for name in m.files if m else []:
-                fs.move(f"{name}.tmp", name)
+        names = [n for m in messages if m for n in m.files]
+        with ThreadPoolExecutor(_MOVERS) as pool:
+            # the archive last: one that is there has its offsets
+            for kind in (True, False):
+                list(pool.map(lambda n: fs.move(f"{n}.tmp", n), [n for n in names if n.endswith(".offsets") is kind]))
+        self._clear()
 
     def abort(self, messages: list[Done | None]) -> None:
-        fs, _ = filesystem(self.path)
-        for m in messages:
-            for name in m.files if m else []:
-                fs.delete_file(f"{name}.tmp")
+        self._clear()
+
+    def _clear(self) -> None:
+        """Removes this job's unfinished files, those of attempts that no message speaks of among them."""
+        fs, root = filesystem(self.path)
+        for f in fs.get_file_info(pafs.FileSelector(root)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.base_name.endswith(".tmp"):
+                fs.delete_file(f.path)
 
 
 def register(spark: SparkSession) -> None:
@@ -292,18 +407,42 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "payload", digest_col: str = "digest", least_bytes: int = 100) -> DataFrame:
+def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "payload", digest_col: str = "digest", least_bytes: int = 100, broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``record_type, first_id``: of rows with equal payloads of ``least_bytes`` or more, the smallest id is a response and others revisit it.
 
     Payloads are equal if their digests are.  Repeated rows of the smallest id
-    are all responses.  A null id revisits the smallest id, if there is one.
+    are all responses.  A null id revisits the smallest id, if there is one; if
+    there is none, and for a null digest or payload, rows are responses.  An
+    empty table gives an empty one.  Columns of ``pages`` named like an added
+    one are replaced.
+
+    Groups are found on ids, digests and lengths alone.  Only digests of several
+    rows come back to the pages: up to ``broadcast_rows`` of them as a broadcast,
+    so that no payload is shuffled, beyond by a join in which a digest of
+    ``hot_rows`` rows or more is dealt over ``SALTS`` keys.  (There are at most
+    a ``hot_rows``-th as many hot digests as rows; they are broadcast if they,
+    too, are no more than ``broadcast_rows``, else no digest counts as hot.)
     """
     need(pages, id_col, payload_col, digest_col)
+    pages = without(pages, "record_type", "first_id")
+    key, first, salt, hot = (free_name(pages, n) for n in ("copied_digest", "smallest_id", "digest_salt", "hot_digest"))
     large = F.octet_length(payload_col) >= least_bytes
-    firsts = pages.where(large).groupBy(F.col(digest_col).alias("__digest")).agg(F.min(id_col).alias("first_id"))
-    out = pages.join(firsts, (F.col(digest_col) == F.col("__digest")) & large, "left").drop("__digest")
-    again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col(id_col))
-    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("first_id", F.when(again, F.col("first_id")))
+    found = pages.where(large & F.col(digest_col).isNotNull()).groupBy(F.col(digest_col).alias(key)).agg(F.min(id_col).alias(first), F.count(F.lit(1)).alias("n"))
+    found = save(found.where("n > 1"), "copies")
+    same = (F.col(digest_col) == F.col(key)) & large
+    if found.count() <= broadcast_rows:
+        out = pages.join(F.broadcast(found.drop("n")), same, "left")
+    else:
+        busy = found.where(F.col("n") >= hot_rows).select(F.col(key).alias(hot))
+        if busy.count() > broadcast_rows:
+            busy = busy.where("false")
+        marked = pages.join(F.broadcast(busy), F.col(digest_col) == F.col(hot), "left")
+        marked = marked.withColumn(salt, F.when(F.col(hot).isNotNull(), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).otherwise(0))
+        every = F.when(F.col(hot).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        found = found.join(F.broadcast(busy), F.col(key) == F.col(hot), "left").select(key, first, F.explode(every).alias("dealt"))
+        out = marked.join(found.hint("merge"), same & (F.col(salt) == F.col("dealt")), "left")
+    again = F.col(first).isNotNull() & ~F.col(first).eqNullSafe(F.col(id_col))
+    return out.select(*[F.col(f"`{c}`") for c in pages.columns], F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col(first)).alias("first_id"))
 
 
 def write_archives(records: DataFrame, path: str | None = None, compression: str = "none") -> str:
