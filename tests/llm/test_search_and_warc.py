@@ -1,11 +1,13 @@
 """Top-k search and archives against brute force; the pipeline's stages."""
 
+import gzip
 import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan
 
 import corpus_pipeline
 from loomstone.llm import cover_tree, warc
@@ -23,7 +25,76 @@ def test_dual_trees(seed, monkeypatch):
     best = cover_tree.dual_search(q, own, x, [np.flatnonzero(place == j)[:6] for j in range(len(x))], 5)
     for j in range(m):
         want = sorted((-float(q[j] @ x[place[i]]), i) for i in range(n) if i != own[j])[:5]
-        assert [(-s, i) for s, i in zip(best.score[j], best.id[j], strict=True) if np.isfinite(s)] == want
+        assert [(-s, i) for s, i in zip(best.score[j], best.id[j], strict=True) if s > cover_tree.NONE] == want
+
+
+def clusters(rng, n, centres, spread, d=64):
+    at = rng.normal(0, 2000, (centres, d))
+    return np.unique(np.floor(at[rng.integers(0, centres, n)] + rng.normal(0, spread, (n, d))), axis=0)
+
+
+def test_node_pairs_are_pruned_in_64_dimensions():
+    rng = np.random.default_rng(3)
+    x = clusters(rng, 4000, 40, 20)
+    q = x[::50]
+    best = cover_tree.dual_search(q, np.arange(0, len(x), 50), x, [np.array([j]) for j in range(len(x))], 5)
+    assert best.dropped > 0 and best.compared < 0.2 * len(q) * len(x)
+    for j, i in enumerate(range(0, len(x), 50)):
+        want = sorted((-int(s), k) for k, s in enumerate(x @ q[j]) if k != i)[:5]
+        assert [(-s, k) for s, k in zip(best.score[j].tolist(), best.id[j].tolist(), strict=True)] == want
+
+
+@pytest.mark.parametrize("spread", [0, 1, 1000])
+def test_trees_are_cover_trees(spread):
+    """Children cover their parent's points within half its radius, are centred on points of their own and lie further apart than that."""
+    x = clusters(np.random.default_rng(spread), 900, 9, spread, 16)
+    t = cover_tree.cover_tree(x)
+    for k, kids in enumerate(t.kids):
+        assert np.sqrt(((x[t.rows[k]] - t.centre[k]) ** 2).sum(1)).max() <= t.radius[k]
+        if not len(kids):
+            assert len(t.rows[k]) <= cover_tree.LEAF or t.radius[k] == 0
+            continue
+        assert sorted(np.concatenate([t.rows[c] for c in kids]).tolist()) == t.rows[k].tolist()
+        assert (t.radius[kids] <= t.radius[k] / 2 * (1 + 1e-6)).all()
+        apart = np.sqrt(((t.centre[kids][:, None] - t.centre[kids][None]) ** 2).sum(2)) + np.eye(len(kids)) * 1e9
+        assert (apart > t.radius[k] / 2 * (1 - 1e-6)).all()
+
+
+@pytest.mark.parametrize("largest", [50_000.0, 2.0**45, 2.0**58])
+def test_scores_beyond_floating_point_are_exact(spark, largest):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 6) * (largest if i % 3 == 0 else 1.0)]) for i in range(0, 200, 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    whole = {i: [min(max(x, -(2**63)), 2**63 - 1) for x in v] for i, v in whole.items()}
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cover_tree.top_k(df, data_block=10, query_block=2).collect())
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        exact = {i: min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(2**63) + 1), 2**63 - 1) for i, v in whole.items() if i != q}
+        want += [(q, k, i, exact[i]) for k, i in enumerate(sorted(exact, key=lambda i: (-exact[i], i))[:5], 1)]
+    assert got == want
+
+
+def test_an_id_with_many_vectors_hides_no_other(spark):
+    rows = [(7, [1.0, 0.001 * k]) for k in range(60)] + [(k, [0.5, 0.1 * k]) for k in (100, 101, 102, 103, 104, 105)] + [(9, [0.3, 0.3])] * 40
+    got = cover_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), is_query=F.col("vec_id").isin(7, 105), data_block=16).collect()
+    for q in (7, 105):
+        own = [r for r in got if r["query_id"] == q]
+        assert sorted(r["rank"] for r in own) == [1, 2, 3, 4, 5] and len({r["vec_id"] for r in own}) == 5
+        dot = {}
+        for i, v in rows:
+            dot[i] = max([dot.get(i, -(10**18))] + [sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(u, v, strict=True)) for j, u in rows if j == q])
+        assert [r["vec_id"] for r in sorted(own, key=lambda r: r["rank"])] == sorted((i for i in dot if i != q), key=lambda i: (-dot[i], i))[:5]
+
+
+def test_pivots_spare_blocks(spark):
+    """On clustered vectors bounds between blocks keep most of them from most queries, and the result is that of all pairs."""
+    x = clusters(np.random.default_rng(5), 3000, 30, 5, 8) / 256
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cover_tree.top_k(df, data_block=50, query_block=10).collect())
+    y = np.floor(256 * x)
+    want = [(q, k, i, -s) for q in range(0, len(x), 50) for k, (s, i) in enumerate(sorted((-int(s), i) for i, s in enumerate(y @ y[q]) if i != q)[:5], 1)]
+    assert got == want
 
 
 def test_search_of_a_table(spark):
@@ -72,7 +143,6 @@ def test_archives_round_trip(spark, compression):
 
 def test_headers_decide_before_payloads():
     reader = warc.WarcReader({"path": "/nowhere"})
-    from pyspark.sql.datasource import EqualTo, GreaterThan
 
     left = list(reader.pushFilters([EqualTo(("record_type",), "revisit"), GreaterThan(("payload_length",), 3)]))
     assert len(left) == 1 and not reader.wanted({"record_type": "response"}) and reader.wanted({"record_type": "revisit"})
@@ -95,3 +165,60 @@ def test_near_copies_leave_one(spark):
     rows = [(4, text), (2, text.replace("w50", "other")), (9, "something else that is not near"), (None, text), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()) == ["2", "7", "9", "None"]
+
+
+def test_revisits_at_every_size(spark):
+    """Broadcast, merge join and hot digests agree; clashing columns are replaced; null ids, digests and payloads are defined."""
+    rows = [(k, f"d{k % 7}", b"x" * 200) for k in range(60)] + [(100, "few", b"y"), (101, "few", b"y"), (None, "d0", b"x" * 200), (102, None, b"x" * 200), (103, None, b"x" * 200), (104, "d0", None), (None, "none", b"z" * 200), (None, "none", b"z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, digest string, payload binary").selectExpr("*", "1 AS first_id", "2 AS record_type", "3 AS copied_digest", "4 AS smallest_id", "5 AS digest_salt", "6 AS hot_digest", "7 AS n")
+    want = None
+    for bounds in ((1000, 1000), (0, 1000), (5, 9), (0, 1)):
+        out = warc.revisits(pages, broadcast_rows=bounds[0], hot_rows=bounds[1])
+        assert sorted(out.columns) == sorted(pages.columns)
+        got = sorted((str(r["page_id"]), str(r["digest"]), r["record_type"], str(r["first_id"]), r["copied_digest"]) for r in out.collect())
+        want = want or got
+        assert got == want
+    firsts = {(i, d): (t, f) for i, d, t, f, _ in want}
+    assert firsts["7", "d0"] == ("revisit", "0") and firsts["0", "d0"] == ("response", "None") and firsts["None", "d0"] == ("revisit", "0")
+    assert {firsts[k][0] for k in (("100", "few"), ("101", "few"), ("102", "None"), ("103", "None"), ("104", "d0"), ("None", "none"))} == {"response"}
+    assert warc.revisits(pages.where("false")).count() == 0
+
+
+def foreign(records):
+    return [b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <%s>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, name, len(body), body) for kind, name, body in records]
+
+
+@pytest.mark.parametrize("window", [7, 64, 1 << 16])
+@pytest.mark.parametrize("kind", ["plain", "members", "one member"])
+def test_archives_of_other_origin(spark, tmp_path, monkeypatch, window, kind):
+    """Without offsets, plain or gzip in one or many members; unwanted blocks, however long, are passed over."""
+    monkeypatch.setattr(warc, "_WINDOW", window)
+    rng = random.Random(window)
+    bodies = [(b"request" if k % 3 else b"response", b"r%d" % k, b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" * (k % 2) + rng.randbytes(rng.choice((0, 1, 500, 70_000)))) for k in range(25)]
+    parts = foreign(bodies)
+    data = b"".join(parts) if kind == "plain" else b"".join(gzip.compress(p) for p in parts) if kind == "members" else gzip.compress(b"".join(parts))
+    path = tmp_path / ("a.warc" if kind == "plain" else "a.warc.gz")
+    path.write_bytes(data)
+    for wanted in ({b"request", b"response"}, {b"response"}):
+        reader = warc.WarcReader({"path": str(path)})
+        if len(wanted) == 1:
+            list(reader.pushFilters([EqualTo(("record_type",), "response")]))
+        got = [(r[0].encode(), r[-1]) for p in reader.partitions() for r in reader.read(p)]
+        assert got == [(n, b[25:] if b.startswith(b"HTTP") else b) for t, n, b in bodies if t in wanted]
+    path.write_bytes(data[: len(data) * 2 // 3])
+    reader = warc.WarcReader({"path": str(path)})
+    with pytest.raises(ValueError, match="an archive ends"):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_unwanted_members_stay_compressed(spark, tmp_path, monkeypatch):
+    rows = [(str(k), "response" if k % 4 else "metadata", b"x" * 300_000) for k in range(12)]
+    df = spark.createDataFrame(rows, "record_id string, record_type string, payload binary").selectExpr("*", "NULL AS target_uri", "NULL AS date", "NULL AS refers_to", "NULL AS payload_digest", "CAST(300000 AS BIGINT) AS payload_length")
+    folder = warc.write_archives(df.coalesce(1), str(tmp_path / "w"), "gzip")
+    assert not list((tmp_path / "w").glob("*.tmp"))
+    inflated = []
+    monkeypatch.setattr(warc.Inflated, "more", (lambda real: lambda self, least: inflated.append(1) or real(self, least))(warc.Inflated.more))
+    reader = warc.WarcReader({"path": folder})
+    list(reader.pushFilters([EqualTo(("record_type",), "metadata")]))
+    assert len([r for p in reader.partitions() for r in reader.read(p)]) == 3
+    assert 0 < len(inflated) <= 3 * 8  # of the three wanted records only
