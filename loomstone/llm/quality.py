@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .memory import hold
-from .shared import bounded, fold, map_text, need
+from .shared import bounded, fold, labels_by_id, map_text, need
 
 STATISTICS = (
     "log_words", "log_word_length", "distinct_share", "top_share", "pair_share", "line_share", "log_line_words",
@@ -124,13 +124,12 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "
     """Fits on whole texts of labelled rows.
 
     Labels are taken from rows of ``labels`` where ``trainable`` (a Column over
-    ``id_col``) holds and the label is 0 or 1; of more than ``max_labelled`` such
-    rows those with the smallest hash of their id are used.
+    ``id_col``) holds and the label is 0 or 1; an id with both labels has none.
+    Of more than ``max_labelled`` such ids those with the smallest hash are used,
+    and of more texts than that (an id may have several) as many.
     """
     need(docs, id_col, text_col)
-    need(labels, id_col, label_col)
-    known = labels.where(F.col(label_col).isin(0, 1) & trainable).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    known = bounded(known, max_labelled, F.xxhash64("__id"), F.col("__id"), F.col("__y"))
+    known = bounded(labels_by_id(labels, id_col, label_col, trainable), max_labelled, F.xxhash64("__id"), F.col("__id"))
     own = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), F.col(id_col) == F.col("__id"))  # at most max_labelled ids
     rows = map_text(own, "text", ["__y", "__id"], [(s, "double") for s in STATISTICS], lambda: _columns)
     rows = rows.orderBy(F.xxhash64("__id"), "__id", *STATISTICS, "__y").limit(max_labelled).toPandas()

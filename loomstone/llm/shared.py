@@ -22,10 +22,12 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where the session may name none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomstone-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -41,6 +43,14 @@ def save(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`save` returned and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -66,17 +76,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, limit: int, key: Column, *ties: Column | str) -> DataFrame:
-    """At most ``limit`` rows, the first by ``key`` (a 64-bit hash) and ``ties``: a documented bound for fitting models.
+    """At most ``limit`` rows, the first by ``key`` (a 64-bit hash of what tells rows apart) and ``ties``: a documented bound for fitting models.
 
     Of many rows, those with a large hash are left out beforehand, so that no
-    partition brings ``limit`` rows to the last sort.
+    partition brings ``limit`` rows to the last sort.  How many is found from the
+    number of *different* hashes, so repeated rows never thin out the others.
     """
-    n = df.count()
+    n = df.agg(F.approx_count_distinct(key, 0.02)).first()[0]
     if n > 2 * limit:
         df = df.where(key < F.lit(int(-(2**63) + 2**64 * min(0.999, (1.5 * limit + 100) / n))))
     return df.orderBy(key, *ties).limit(limit)
 
 
+def labels_by_id(labels: DataFrame, id_col: str, label_col: str, trainable: Column) -> DataFrame:
+    """``__id, __y`` of the ids for which ``trainable`` holds and that have the label 0 or 1, once each; ids with both labels are left out."""
+    need(labels, id_col, label_col)
+    y = F.col(label_col).cast("int")
+    known = labels.where(y.isin(0, 1) & trainable & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(y).alias("__y"), F.max(y).alias("most"))
+    return known.where("__y = most").select("__id", "__y")
+
+
 def without(df: DataFrame, *added: str) -> DataFrame:
     """``df`` less the columns that an operator is about to add: its own replace them."""
     low = {a.lower() for a in added}

@@ -1,12 +1,13 @@
 """Language, quality and toxicity: held-out accuracy on the driver's documents, and edge cases."""
 
+import itertools
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import langid, quality, queries, toxicity
+from loomstone.llm import langid, quality, queries, shared, toxicity
 
 DATA = "/root/testdata/sf0.01"
 there = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
@@ -34,6 +35,62 @@ def test_mixtures_are_found():
     assert langid.predict("words", langid.Languages((), np.zeros((1 << langid.BITS, 0))))[0] == "und"
 
 
+def plainly(counts, model, penalty=4.0):
+    """(value, names) of the best of all sets of languages, by plain EM over many rounds."""
+    at = np.flatnonzero(counts)
+    c, p, best = counts[at].astype(float), model.prob[at], []
+    for size in range(1, len(model.names) + 1):
+        for pick in itertools.combinations(range(len(model.names)), size):
+            q, share = p[:, pick], np.full(size, 1 / size)
+            for _ in range(3000):
+                share = share * ((c / (q @ share)) @ q) / c.sum()
+            best.append((float(c @ np.log(q @ share)) - penalty * np.log(c.sum() + 1) * (size - 1), tuple(model.names[k] for k in pick), share))
+    return max(best, key=lambda b: b[0])
+
+
+def test_mixtures_against_all_sets_of_four_languages():
+    texts = {
+        "en": "the quick brown fox jumps over the lazy dog and runs away from it into the forest",
+        "de": "der schnelle braune fuchs springt über den faulen hund und läuft davon in den wald",
+        "fr": "le rapide renard brun saute par-dessus le chien paresseux et court dans la forêt",
+        "es": "el rápido zorro marrón salta sobre el perro perezoso y corre hacia el bosque",
+    }
+    model, rng, sizes = model_of({k: [v] * 3 for k, v in texts.items()}), np.random.default_rng(2), set()
+    for _ in range(25):
+        parts = [" ".join([texts[k]] * int(rng.integers(1, 4))) for k in rng.choice(sorted(texts), int(rng.integers(1, 5)), replace=False)]
+        words = " ".join(parts).split()
+        text = " ".join(words[: int(rng.integers(5, len(words) + 1))])
+        value, names, share = plainly(langid.ngram_counts(text), model)
+        got = langid.infer(langid.ngram_counts(text), model)
+        sizes.add(len(names))
+        assert tuple(sorted(got)) == tuple(sorted(names))
+        assert all(abs(got[n] - x) < 0.02 for n, x in zip(names, share, strict=True))
+    assert len(sizes) > 2
+
+
+def test_letters_decide():
+    model = model_of({"en": ["the quick brown fox"]})
+    for text in ("ℂ", "々", "〆", "ⁱ", "ª", "漢", "ก", "x"):
+        assert langid.predict(text, model)[0] == "en" and langid.ngram_counts(text).sum() > 0, text
+    for text in ("৴", "½", "Ⅻ", "\u0301", "_", "٣"):
+        assert langid.predict(text, model) == ("und", 0.0, {}), text
+
+
+def test_repeated_ids_lose_no_training_rows(spark):
+    """Ten thousand labelled rows of one id, or one row ten thousand times, still teach their language."""
+    words = "the quick brown fox jumps over the lazy dog".split()
+    for text in (F.lit("the quick brown fox"), F.concat(F.lit("the quick "), F.element_at(F.array(*map(F.lit, words)), (F.col("id") % len(words) + 1).cast("int")), F.col("id").cast("string"))):
+        for doc_id in (7, 11):
+            docs = spark.range(10_000).select(F.lit(doc_id).cast("long").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+            model = langid.fit(docs, F.lit(True), max_labelled=50)
+            assert model.names == ("en",) and langid.predict("the quick brown fox", model)[0] == "en"
+    labels = spark.createDataFrame([(11, 0, 0)] * 5000 + [(k, 1, 1) for k in range(20, 40)] + [(50, 0, 0), (50, 1, 1)], "doc_id long, quality int, toxic int")
+    known = shared.labels_by_id(labels, "doc_id", "quality", F.lit(True))
+    assert sorted((r[0], r[1]) for r in shared.bounded(known, 4000, F.xxhash64("__id")).collect()) == [(11, 0)] + [(k, 1) for k in range(20, 40)]
+    same = spark.range(10_000).select(F.lit(11).alias("x"))
+    assert shared.bounded(same, 100, F.xxhash64("x")).count() == 100
+
+
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
     text = "Ein Text, der über Grenzen geht. " * 50
     whole = langid.ngram_counts(text)
