@@ -68,6 +68,55 @@ def test_near_duplicates(spark, width, monkeypatch):
     assert got == brute_components(rows, width, 80)
 
 
+def variants(rng, base, n, changes):
+    """``n`` copies of a list of words, each with a few words replaced."""
+    for _ in range(n):
+        t = list(base)
+        for _ in range(rng.randrange(1, changes)):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(10**6)}"
+        yield " ".join(t)
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_large_clusters_are_contracted(spark, block, monkeypatch):
+    """Clusters far larger than a block, with parts at all distances, links between parts and copies that chain."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 2 * block)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", block)
+    rng = random.Random(block)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    texts = list(variants(rng, base, 60, 9))
+    for step in range(8):  # a chain that walks away from the base, with a family at each end
+        base = base[:]
+        for k in range(step * 5, step * 5 + 3):
+            base[k] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(base))
+    texts += variants(rng, base, 40, 12)
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    want = brute_components(rows, 4, 80)
+    assert got == want and 1 < len({c for _, c, _ in want.values()}) < len(rows)
+
+
+def test_a_family_of_thousands_and_a_text_of_two_million_words(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = list(enumerate(variants(rng, base, 3000, 6)))
+    long = [f"w{k * 7919 % 999_983}" for k in range(2_000_000)]
+    rows += [(9000, " ".join(long)), (9001, " ".join([*long[:1000], "x", *long[1001:]]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 80).collect()}
+    # every variant differs from the base by five words at most: at least 375 of 397 shingles are the base's
+    assert got == {i: 0 for i, _ in rows[:3000]} | {9000: 9000, 9001: 9000}
+
+
+def test_a_bitmap_of_ids_loses_none(spark):
+    texts = spark.range(-5000, 5000).select(F.col("id").alias("__id"), F.lit("x").alias("text"))
+    nodes = spark.range(-4000, 4000, 40).select(F.col("id").alias("node"))
+    found = {r[0] for r in near_dedup.among(texts, "__id", nodes).collect()}
+    assert found >= set(range(-4000, 4000, 40)) and len(found) < 400
+    assert near_dedup.among(texts, "__id", nodes.where("false")).count() == 0
+
+
 def test_near_edge_cases(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "q r s t u v"), (9, "q r s t u v"), (7, "a b c d e f"), (7, "a b c d e f")]
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
