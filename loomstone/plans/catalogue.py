@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..operators import filters, generate, graph, judging, obfuscate, relational, similarity
 from ..sources import tables
 from ..store import keep
-from . import pipelines
+from . import more_queries, pipelines
 
 TEST, TRAIN, PATHS = ["SRC1"], ["src0", "src2", "src3", "src4"], ["/es/"]
 TEMPLATE = "Summarise.\n{context}\n----\n{code} {doc}"
@@ -338,3 +338,6 @@ ORACLE_SQL = {
     "paired_summaries": f"WITH {_FUNCTIONS} SELECT id, name || '.' || ord AS left_doc, md5(doc) AS right_doc FROM f ORDER BY ord, id LIMIT 1000",
     "dict_to_array": "SELECT conv_id, string_agg(role, '|' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id",
 }
+
+QUERIES |= more_queries.queries(_table, functions)
+ORACLE_SQL |= more_queries.oracle_sql(_FUNCTIONS, _EDGES)
