@@ -17,16 +17,19 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def new_names(functions: DataFrame, shortest: int = 3, longest: int = 7, seed: int = 0) -> DataFrame:
     """``name, new_name`` of the different short names (after the last ``:``); no two new names are equal.
 
-    A name's letters come from its hash.  Names that meet get a number, spelt in
-    letters, and so one or more letters beyond ``longest``.
+    A name's letters come from its hash.  Names whose letters, filled up to
+    ``longest``, meet get a number, spelt in letters, and so one or more letters
+    beyond ``longest``; the first of each stays as it is.
     """
     names = functions.select(X.last_part("name", ":").alias("name")).distinct()
     size = F.lit(shortest) + F.pmod(F.xxhash64(F.lit(seed), "name"), F.lit(longest - shortest + 1)).cast("int")
     letter = lambda i: F.substr(F.lit(LETTERS), F.pmod(F.xxhash64(F.lit(seed), "name", i), F.lit(52)).cast("int") + 1, F.lit(1))
     first = F.array_join(F.transform(F.sequence(F.lit(1), size), letter), "")
-    met = F.row_number().over(Window.partitionBy("first").orderBy("name")) - 1
+    stem = F.rpad("first", longest, "Z")
+    # numbered over the filled stem: "abc" and "abcZ" share one
+    met = F.row_number().over(Window.partitionBy(stem).orderBy("name")) - 1
     spelt = F.translate(met.cast("string"), "0123456789", LETTERS[:10])
-    unique = F.when(met > 0, F.concat(F.rpad("first", longest, "Z"), spelt)).otherwise(F.col("first"))
+    unique = F.when(met > 0, F.concat(stem, spelt)).otherwise(F.col("first"))
     return names.withColumn("first", first).withColumn("new_name", unique).select("name", "new_name")
 
 

@@ -38,7 +38,7 @@ def joined_field(field: str) -> Column:
 def exact_groups(df: DataFrame, text: Column, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
     """``id, rep, copies``: for each row with tokens the first row (by ``ord``) with the same token sequence, and how many there are."""
     joined = F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))  # the tokens with one space between
-    t = df.where(has_token(text)).select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), F.md5(joined).alias("h"))
+    t = keep(df.where(has_token(text)).select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), F.md5(joined).alias("h")), "hashes")  # texts are tokenised once
     g = t.groupBy("h").agg(F.min_by("id", "ord").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return t.join(g, "h").select("id", "rep", "copies")
 
@@ -51,24 +51,46 @@ def classes(df: DataFrame, text: Column, id_col: str = "id") -> tuple[DataFrame,
     return t.select("id", "h").join(g.select("h", "class"), "h").select("id", "class"), g.select("class", "copies", "t")
 
 
-def similar_classes(sets: DataFrame, percent: int = 90) -> DataFrame:
+def similar_classes(sets: DataFrame, percent: int = 90, left: Column | None = None, right: Column | None = None) -> DataFrame:
     """``a, b, both, size_a, size_b`` (a < b) of the pairs of different sets that are similar.
 
+    With conditions ``left`` and ``right`` over ``sets``, only pairs of a set of
+    the left with one of the right, as ``a`` and ``b`` in any order; sets of one
+    side are not held against each other.
+
     Tokens are ordered from rare to frequent.  Similar sets share one of the
     first ``n - ceil(t n) + 1`` tokens of both, so a frequent token leads two
-    sets together only if they have little else; candidates are then verified
-    on whole sets.
+    sets together only if they have little else.  Sets meet on a token *and* a
+    class of sizes, which of similar sets are equal or next to each other; and
+    only if what lies behind the token in either still suffices.  Candidates are
+    then verified on whole sets.
     """
+    sides = left is not None and right is not None
     each = sets.select("class", F.explode("t").alias("token"))
     often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(often, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    if sides:
+        ranked = ranked.join(sets.select("class", left.alias("l"), right.alias("g")), "class")
     n = F.size("r")
     first = n - F.ceil(n * percent / 100).cast("int") + 1
-    heads = keep(ranked.select("class", n.alias("n"), F.explode(F.slice(F.transform("r", lambda x: F.xxhash64(x["token"])), F.lit(1), first)).alias("token")), "prefixes")
-    x = heads.select("token", F.col("class").alias("a"), F.col("n").alias("size_a"))
-    y = heads.select("token", F.col("class").alias("b"), F.col("n").alias("size_b"))
+    step = F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else n
+    shown = ["class", n.alias("n"), step.alias("step"), *(["l", "g"] if sides else [])]
+    heads = keep(ranked.select(*shown, F.posexplode(F.slice(F.transform("r", lambda x: F.xxhash64(x["token"])), F.lit(1), first)).alias("pos", "token")), "prefixes")
+    x = heads.select("token", F.col("step").alias("k"), F.col("class").alias("a"), F.col("n").alias("size_a"), F.col("pos").alias("pa"), F.col("step").alias("ka"), *(["l"] if sides else []))
+    # the other side comes to its own class of sizes and the next smaller one; with sides, to the next larger one as well
+    steps = [F.col("step"), F.col("step") - 1, *([F.col("step") + 1] if sides else [])]
+    y = heads.select("token", F.explode(F.array(*steps)).alias("k"), F.col("class").alias("b"), F.col("n").alias("size_b"), F.col("pos").alias("pb"), F.col("step").alias("kb"), *(["g"] if sides else []))
+    if sides:
+        x, y = x.where("l").drop("l"), y.where("g").drop("g")
     close = (F.col("size_b") * 100 >= F.col("size_a") * percent) & (F.col("size_a") * 100 >= F.col("size_b") * percent)
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & close).select("a", "b", "size_a", "size_b").distinct()
+    rest = F.least(F.col("size_a") - F.col("pa"), F.col("size_b") - F.col("pb"))  # the token (places count from 0) and what lies behind it
+    enough = rest * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+    once = (F.col("a") != F.col("b")) if sides else (F.col("a") < F.col("b")) | (F.col("ka") != F.col("kb"))
+    pairs = x.join(y, ["token", "k"]).where(once & close & enough)
+    if not sides:
+        turned = F.col("a") > F.col("b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"))
+    pairs = pairs.select("a", "b", "size_a", "size_b").distinct()
     hashed = sets.select("class", F.transform("t", lambda w: F.xxhash64(w)).alias("s"))
     both = pairs.join(hashed.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(hashed.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
     out = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), "size_a", "size_b")
@@ -134,10 +156,11 @@ def without_leaks(train: DataFrame, test: DataFrame, texts: list[Column], percen
         both = train.select(F.concat(F.lit("1"), F.col(id_col)).alias("id"), text.alias("x")).union(test.select(F.concat(F.lit("0"), F.col(id_col)).alias("id"), text.alias("x")))
         members, sets = classes(both, F.col("x"))
         members = keep(members, "members")
-        pairs = similar_classes(sets, percent)
-        ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(sets.select("class", "class"))
-        tested = members.where(F.startswith("id", F.lit("0"))).select(F.col("class").alias("b")).distinct()
-        leaky = members.join(ends.join(tested, "b").select(F.col("a").alias("class")).distinct(), "class", "left_semi").where(F.startswith("id", F.lit("1")))
+        in_test = F.startswith("id", F.lit("0"))
+        where = members.groupBy("class").agg(F.bool_or(in_test).alias("tested"), F.bool_or(~in_test).alias("trained"))
+        sets = keep(sets.join(where, "class"), "sides")
+        near = similar_classes(sets, percent, F.col("tested"), F.col("trained")).select(F.col("b").alias("class"))
+        leaky = members.where(~in_test).join(near.union(sets.where("tested AND trained").select("class")).distinct(), "class", "left_semi")
         out = out.join(leaky.select(F.substr("id", F.lit(2)).alias("__leak")), F.col(id_col).cast("string") == F.col("__leak"), "left_anti")
     return out
 

@@ -98,6 +98,20 @@ def test_similarity_join_against_all_pairs(spark, seed):
     assert links == {i: sum(near(s[i], s[j]) for j in range(len(s)) if j != i) for i in range(len(s)) if s[i]}
 
 
+@pytest.mark.parametrize(("seed", "percent"), [(1, 90), (2, 80), (3, 100), (4, 55)])
+def test_leaks_against_all_pairs(spark, seed, percent):
+    """Sets of all sizes and thresholds; with sides only pairs across them count."""
+    train, test = some_texts(seed, 50), some_texts(seed, 12) + some_texts(seed + 10, 10)
+    s, t = sets_of(train), sets_of(test)
+    alike = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
+    got = {int(r["id"]) for r in similarity.without_leaks(rows_of(spark, train), rows_of(spark, test), [F.col("doc")], percent).collect()}
+    assert got == {i for i, x in enumerate(s) if not any(alike(x, y) for y in t)}
+    _, sets = similarity.classes(rows_of(spark, train).withColumn("id", F.col("ord")), F.col("doc"))
+    pairs = sorted((r["a"], r["b"]) for r in similarity.similar_classes(sets, percent).collect())
+    first = {x: i for i, x in reversed(list(enumerate(s))) if x}
+    assert pairs == sorted((i, j) for x, i in first.items() for y, j in first.items() if i < j and alike(x, y))
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_greedy_dedup_against_a_loop(spark, seed):
     texts = some_texts(seed)
@@ -253,3 +267,11 @@ def test_pipelines_end_to_end(spark):
     flat = pipelines.predict(f, "{context}{code}{doc}", generate.EchoGenerator())
     assert pipelines.evaluate(flat).select("Verbosity_auto", "Triviality_auto").count() == 3
     assert pipelines.dedup_train(f).count() >= 1
+
+
+def test_names_that_meet_stay_different(spark):
+    """Letters that are one name's stem and another's filled-up stem, and many names for few letters."""
+    names = spark.range(60_000).select(F.concat(F.lit("ns::f"), F.col("id").cast("string")).alias("name"))
+    got = obfuscate.new_names(names, shortest=1, longest=3).agg(F.count("name"), F.countDistinct("new_name")).first()
+    assert got[0] == got[1] == 60_000
+    assert obfuscate.new_names(names).agg(F.countDistinct("new_name")).first()[0] == 60_000
