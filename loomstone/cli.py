@@ -16,6 +16,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import metrics as M
 from .operators import graph, relational
 from .plans import pipelines as P
 from .ship import ship
@@ -123,14 +124,28 @@ def run_synthesize(spark, o):
     return P.synthesize(tables.read_rows(spark, o.input), _text(spark, o.template), _named(o.generator)(), o.use_doc, o.use_context)
 
 
-@command("input output lenient! use_doc!")
+def _metrics(spark: SparkSession, o: Options) -> dict:
+    """The metrics, with the full tables of triviality where the options name them."""
+    return M.registry(M.read_abbreviations(spark, o.abbreviations) if o.abbreviations else None, M.read_words(spark, o.stopwords) if o.stopwords else None)
+
+
+@command("input output lenient! use_doc! abbreviations? stopwords?")
 def run_finalize_synth(spark, o):
-    return P.dedup_train(P.keep(P.finalize_synthesis(tables.read_rows(spark, o.input), not o.lenient, o.use_doc), "final"))
+    return P.dedup_train(P.keep(P.finalize_synthesis(tables.read_rows(spark, o.input), not o.lenient, o.use_doc, _metrics(spark, o)), "final"))
 
 
-@command("input output doc?")
+@command("input output doc? abbreviations? stopwords?")
 def evaluate_auto_metrics(spark, o):
-    return P.evaluate(tables.read_rows(spark, o.input), o.doc or "generated_summary")
+    return P.evaluate(tables.read_rows(spark, o.input), o.doc or "generated_summary", _metrics(spark, o))
+
+
+@command("input predictions output scores judge doc?")
+def run_qa_tests(spark, o):
+    """Rows with answers and scores to ``--output``, the register of scores as CSV to ``--scores``."""
+    rows, register = P.question(tables.read_rows(spark, o.input), tables.read_rows(spark, o.predictions), _named(o.judge)(), o.doc or "generated_summary")
+    rows = P.keep(rows, "answers")
+    register.orderBy("test").write.mode("overwrite").option("header", "true").csv(o.scores)
+    return rows
 
 
 @command("input output judge doc? budget?")
@@ -159,7 +174,7 @@ def run_alignment(spark, o):
     _named(o.trainer)(tables.read_columns(spark, o.input, o.columns, None if o.head is None else int(o.head)))
 
 
-OVERWRITES = {"evaluate_auto_metrics", "add_gpt_fact_halluc_responses", "compare_pairwise_sufficiency_by_gpt", "merge_all_metrics"}
+OVERWRITES = {"evaluate_auto_metrics", "run_qa_tests", "add_gpt_fact_halluc_responses", "compare_pairwise_sufficiency_by_gpt", "merge_all_metrics"}
 
 
 def parser() -> argparse.ArgumentParser:

@@ -6,12 +6,13 @@ that :func:`with_metrics` applies.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as X
@@ -103,6 +104,24 @@ def short_forms(table: dict[str, tuple[str, ...]] | None = None) -> dict[str, tu
     return out
 
 
+def read_abbreviations(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """A full table from a JSON file: ``{word: [short, ...]}``, or a list of ``{"word": ..., "abbrs": [{"abbr": ...}, ...]}``.
+
+    A word listed twice keeps its last entry.
+    """
+    table = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if isinstance(table, list):
+        table = {e["word"]: [a["abbr"] for a in e["abbrs"]] for e in table}
+    return {word: tuple(shorts) for word, shorts in table.items()}
+
+
+def read_words(spark: SparkSession, path: str) -> frozenset[str]:
+    """Stop words, one a line or as a JSON list; single letters other than ``a`` count for nothing."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    found = json.loads(text) if text.lstrip().startswith("[") else text.split()
+    return frozenset(w for w in found if len(w) > 1 or w == "a")
+
+
 def triviality(doc: Column, name: Column, code: Column, abbreviations: dict[str, tuple[str, ...]] | None = None, stopwords: frozenset[str] = STOPWORDS) -> Column:
     """Null in any input gives null."""
     forms, common = short_forms(abbreviations), frozenset(COMMON_WORDS) | {f"{w}s" for w in COMMON_WORDS}
@@ -143,6 +162,13 @@ METRICS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def with_metrics(df: DataFrame, names: dict[str, str], doc: str = "generated_summary") -> DataFrame:
+def registry(abbreviations: dict[str, tuple[str, ...]] | None = None, stopwords: frozenset[str] | None = None) -> dict[str, Callable[[Column], Column]]:
+    """:data:`METRICS`, with other tables for triviality where they are given."""
+    stop = STOPWORDS if stopwords is None else stopwords
+    return METRICS | {"Triviality": lambda doc: triviality(doc, F.col("name"), F.col("code"), abbreviations, stop)}
+
+
+def with_metrics(df: DataFrame, names: dict[str, str], doc: str = "generated_summary", metrics: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """``df`` with a column for each metric of the registry that ``names`` maps to a column name."""
-    return df.withColumns({column: METRICS[metric](F.col(doc)) for metric, column in names.items()})
+    metrics = METRICS if metrics is None else metrics
+    return df.withColumns({column: metrics[metric](F.col(doc)) for metric, column in names.items()})

@@ -16,6 +16,7 @@ EDGE_QUOTED = r"[/\\:*\s\"']*"
 KEYBOARD = r"""[a-zA-Z0-9\s./<>?;:"'`!@#$%^&*()\[\]{}_+=|\\\-~,]"""
 PUNCTUATION = r"""[\s*(),;&\[\]\-!=><'`"%:/.]+"""
 COMMENT = r"""(?d)/\*[\s\S]*\*/|//.*|"+[\s\S]*"+|'+[\s\S]*'+|`+[\s\S]*`+"""
+ANSWER_MARK = r"(Yes|No)\.* *"
 DOXYGEN = ("@", "\\return", "\\param", "\\brief", "\\since")
 
 
@@ -149,6 +150,19 @@ def yes_no(response: Column | str) -> Column:
     return F.regexp_extract_all(_col(response), F.lit("(Yes|No)"), F.lit(1))
 
 
+def answers_with_comments(questions: Column | str, response: Column | str) -> Column:
+    """``question, answer, comment`` for each question: its Yes or No, and what its line holds besides.
+
+    As many answers as questions are asked for; a row with another number stops
+    the query with an error that tells both.
+    """
+    said, asked = yes_no(response), _col(questions)
+    lines = F.split(F.regexp_replace(_col(response), ANSWER_MARK, ""), "\n", -1)
+    wrong = F.concat(F.lit("answers: "), F.size(said).cast("string"), F.lit(", questions: "), F.size(asked).cast("string"))
+    rows = F.transform(asked, lambda q, i: F.struct(q.alias("question"), F.get(said, i).alias("answer"), F.get(lines, i).alias("comment")))
+    return F.when(F.size(said) == F.size(asked), rows).otherwise(F.raise_error(wrong))
+
+
 def answers_by_question(questions: Column | str, response: Column | str) -> Column:
     """Map of each question to the response's line at its place; of equal questions the last counts."""
     lines = F.split(_col(response), "\n", -1)

@@ -118,14 +118,18 @@ def pre_synthesis(use_doc: bool = False, use_context: bool = False) -> FilterCha
     return FilterChain(tuple(rules))
 
 
-def synth_summary(most_trivial: float = 0.1, most_verbose: float = 0.5, copies: bool = True) -> FilterChain:
-    """Rules for generated summaries before their context is attached. The defaults are strict; 0.8, 0.9 and no copy rule are the lenient set."""
+def synth_summary(most_trivial: float = 0.1, most_verbose: float = 0.5, copies: bool = True, metrics: dict[str, Callable[[Column], Column]] | None = None) -> FilterChain:
+    """Rules for generated summaries before their context is attached. The defaults are strict; 0.8, 0.9 and no copy rule are the lenient set.
+
+    ``metrics``: a registry as :func:`loomstone.functions.metrics.registry` gives it.  Triviality is read for the columns ``name`` and ``code``.
+    """
+    metrics = M.METRICS if metrics is None else metrics
     doc = "synth_doc"
     rules: list[Rule] = [
         ("summary under 180", lambda: F.length(doc) < 180), ("summary of 3 to 69 words", lambda: _word_count(doc)), ("does not start with the name", lambda: ~_starts_with_name(doc, (":",))),
         ("no braces", lambda: ~X.contains_any(F.col(doc), ("{", "}"))), ("no doxygen", lambda: ~X.contains_any(F.lower(doc), X.DOXYGEN)), ("no bad words", lambda: _clean_words(doc, BAD_SYNTH_WORDS)),
-        ("no four equal characters in a row", lambda: ~X.four_repeated(doc)), ("not trivial", lambda: M.triviality(F.col(doc), F.col("name"), F.col("code")) < most_trivial),
-        ("not verbose", lambda: M.verbosity(F.col(doc)) < most_verbose), ("keyboard characters", lambda: X.keyboard_or_empty(doc)),
+        ("no four equal characters in a row", lambda: ~X.four_repeated(doc)), ("not trivial", lambda: metrics["Triviality"](F.col(doc)) < most_trivial),
+        ("not verbose", lambda: metrics["Verbosity"](F.col(doc)) < most_verbose), ("keyboard characters", lambda: X.keyboard_or_empty(doc)),
     ]
     if copies:
         rules.append(("copies no code", lambda: M.partial_ratio(F.lower(doc), F.lower(X.remove_comments("code"))) < 80))

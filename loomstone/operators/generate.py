@@ -48,16 +48,24 @@ def context_prompt(template: str, test: bool, doc: str = "doc", words: int = 20)
     return X.strip(render(template, lever=F.lit(""), num_doc_words=n, context=F.col("context"), code=F.col("code"), doc=F.lit("") if test else F.col(doc)))
 
 
-def generate(df: DataFrame, prompt: Column, generator: TextGenerator, batch: int = 4) -> DataFrame:
-    """Adds ``whole_text`` (prompt and continuation) and ``prompt_len``. Long prompts first inside a task, ``batch`` at a time."""
+def generate(df: DataFrame, prompt: Column, generator: TextGenerator, batch: int = 4, longest_answer: int | None = None) -> DataFrame:
+    """Adds ``whole_text`` (prompt and continuation) and ``prompt_len``. Long prompts first inside a task, ``batch`` at a time.
+
+    With ``longest_answer`` (in characters) batches of shorter prompts are larger,
+    as :func:`loomstone.operators.graph.dynamic_batches` deals them.
+    """
+    if batch < 1:
+        raise ValueError(f"a batch has at least one prompt, not {batch}")
     names = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             order = sorted(range(len(f)), key=lambda i: -len(f["__prompt"].iloc[i] or ""))
             out: list[str | None] = [None] * len(f)
-            for at in range(0, len(order), batch):
-                some = order[at : at + batch]
+            lengths = [len(f["__prompt"].iloc[i] or "") for i in order]
+            dealt = [(at, batch) for at in range(0, len(order), batch)] if longest_answer is None else graph.dynamic_batches(lengths, batch, longest_answer)
+            for at, n in dealt:
+                some = order[at : at + n]
                 prompts = [f["__prompt"].iloc[i] or "" for i in some]
                 for i, p, t in zip(some, prompts, generator.generate(prompts), strict=True):
                     out[i] = p + t

@@ -162,9 +162,11 @@ def level_batches(scheduled: DataFrame, size: int) -> DataFrame:
 
 def dynamic_batches(lengths: list[int], size: int, longest_answer: int, most: int = 32) -> list[tuple[int, int]]:
     """(first, count) of batches over prompts sorted by length: the shorter a batch's first prompt against the very first, the more rows it takes."""
+    if size < 1:
+        raise ValueError(f"a batch has at least one prompt, not {size}")
     out, at = [], 0
     while at < len(lengths):
-        n = size * max(1, min(most, lengths[0] // (lengths[at] + longest_answer)))
+        n = size * max(1, min(most, lengths[0] // max(1, lengths[at] + longest_answer)))
         out.append((at, min(n, len(lengths) - at)))
         at += n
     return out

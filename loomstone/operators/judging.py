@@ -25,8 +25,19 @@ GRADE = "\n\nNow answer with one letter: A or B for the more complete summary, C
 QUESTIONS = 'Answer every question from the docstring alone, in order, one line each, with Yes or No.\n\nDocstring:\n"""{doc}"""\n\nQuestions:\n{questions}'
 
 
-def ask(df: DataFrame, prompt: Column, judge: TextGenerator, column: str, batch: int = 16) -> DataFrame:
+def turns(judge: TextGenerator, prompts: list[str], system: str | None) -> list[str]:
+    """The judge's answers. A judge that has ``chat`` gets the system text as a turn of its own, any other one before the prompt."""
+    if system is None:
+        return judge.generate(prompts)
+    if hasattr(judge, "chat"):
+        return judge.chat([[("system", system), ("user", p)] for p in prompts])
+    return judge.generate([f"{system}\n\n{p}" for p in prompts])
+
+
+def ask(df: DataFrame, prompt: Column, judge: TextGenerator, column: str, batch: int = 16, system: str | None = None) -> DataFrame:
     """``df`` with the judge's answer to ``prompt`` as ``column`` (which it replaces); a null prompt gets a null answer."""
+    if batch < 1:
+        raise ValueError(f"a batch has at least one prompt, not {batch}")
     rest = df.drop(column)
     names = [*rest.columns, column]
 
@@ -36,7 +47,7 @@ def ask(df: DataFrame, prompt: Column, judge: TextGenerator, column: str, batch:
             at, said = [k for k, p in enumerate(asked) if p is not None], [None] * len(asked)
             for i in range(0, len(at), batch):
                 some = at[i : i + batch]
-                for k, answer in zip(some, judge.generate([asked[k] for k in some]), strict=True):
+                for k, answer in zip(some, turns(judge, [asked[k] for k in some], system), strict=True):
                     said[k] = answer
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string())], names=names)
 
@@ -44,13 +55,13 @@ def ask(df: DataFrame, prompt: Column, judge: TextGenerator, column: str, batch:
     return rest.withColumn("__prompt", prompt).mapInArrow(run, schema)
 
 
-def review_facts(rows: DataFrame, judge: TextGenerator, doc: str = "generated_summary", template: str = FACTS, response: str = "fact_halluc_response", asked: str = "fact_halluc_user_prompt") -> DataFrame:
+def review_facts(rows: DataFrame, judge: TextGenerator, doc: str = "generated_summary", template: str = FACTS, response: str = "fact_halluc_response", asked: str = "fact_halluc_user_prompt", system: str | None = None) -> DataFrame:
     """``rows`` with the prompt about a summary's mistakes and inventions, and the answer to it; null docs or code ask nothing."""
     rows = rows.withColumn(asked, render(template, code=X.strip("code"), doc=X.strip(doc)))
-    return ask(rows, F.col(asked), judge, response)
+    return ask(rows, F.col(asked), judge, response, system=system)
 
 
-def compare_pairs(anchor: DataFrame, base: DataFrame, judge: TextGenerator, doc: str = "generated_summary", template: str = COMPARE, grade: str = GRADE) -> DataFrame:
+def compare_pairs(anchor: DataFrame, base: DataFrame, judge: TextGenerator, doc: str = "generated_summary", template: str = COMPARE, grade: str = GRADE, system: str | None = None) -> DataFrame:
     """``ord, name, anchor_id, base_id, rationale, verdict`` for the base row of each anchor's name.
 
     Two turns: the judge thinks, then sees its own words and gives a letter;
@@ -62,8 +73,8 @@ def compare_pairs(anchor: DataFrame, base: DataFrame, judge: TextGenerator, doc:
     both = pairs.join(a, "anchor_id").join(b, "base_id")
     text = lambda c: F.coalesce(c, F.lit(""))
     first = render(template, code=text("code"), doc_a=text("doc_a"), doc_b=text("doc_b"))
-    thought = keep(ask(both.withColumn("first", first), F.col("first"), judge, "rationale"), "rationale")
-    said = keep(ask(thought, F.concat("first", F.lit(" "), text("rationale"), F.lit(grade)), judge, "verdict"), "verdict")
+    thought = keep(ask(both.withColumn("first", first), F.col("first"), judge, "rationale", system=system), "rationale")
+    said = keep(ask(thought, F.concat("first", F.lit(" "), text("rationale"), F.lit(grade)), judge, "verdict", system=system), "verdict")
     return said.select("ord", "name", "anchor_id", "base_id", "rationale", relational.verdict(F.col("verdict")).alias("verdict"))
 
 
@@ -79,7 +90,7 @@ def questions_of(claims: Column | str, start: str) -> Column:
     return F.transform(F.col(claims) if isinstance(claims, str) else claims, lambda q: F.concat(F.lit(start + " "), q, F.lit("?")))
 
 
-def ask_claims(rows: DataFrame, judge: TextGenerator, claims: str, wanted: str, doc: str = "generated_summary", start: str = "Does it say that", template: str = QUESTIONS) -> DataFrame:
+def ask_claims(rows: DataFrame, judge: TextGenerator, claims: str, wanted: str, doc: str = "generated_summary", start: str = "Does it say that", template: str = QUESTIONS, system: str | None = None) -> DataFrame:
     """Adds ``<claims>_answers`` (a map by question) and ``<claims>_score``: the share of claims whose answer starts with ``wanted``.
 
     Rows without claims are not asked; both are null there.  Equal claims share
@@ -88,7 +99,7 @@ def ask_claims(rows: DataFrame, judge: TextGenerator, claims: str, wanted: str,
     """
     some = F.size(claims) > 0
     prompt = render(template, doc=F.coalesce(doc, F.lit("")), questions=F.array_join(questions_of(claims, start), "\n"))
-    rows = keep(ask(rows, F.when(some, prompt), judge, "__said"), "answers")
+    rows = keep(ask(rows, F.when(some, prompt), judge, "__said", system=system), "answers")
     answers = F.when(some, X.answers_by_question(questions_of(claims, start), F.coalesce("__said", F.lit(""))))
     rows = rows.withColumn(f"{claims}_answers", answers).drop("__said")
     return rows.withColumn(f"{claims}_score", relational.pass_score(F.col(f"{claims}_answers"), F.col(claims), wanted))

@@ -80,13 +80,13 @@ def synthesize(rows: DataFrame, template: str, generator: generate.TextGenerator
     return out.withColumnRenamed("generated_summary", "synth_doc")
 
 
-def finalize_synthesis(rows: DataFrame, strict: bool = True, use_doc: bool = False) -> DataFrame:
+def finalize_synthesis(rows: DataFrame, strict: bool = True, use_doc: bool = False, metrics: dict | None = None) -> DataFrame:
     """Cleans and filters ``synth_doc``, attaches contexts made of it, filters again and makes it the doc."""
     doc = X.drop_name_prefix(X.trim_lines("synth_doc"), "name")
     if strict:
         doc = X.cut_signature(doc, "code")
     rows = rows.withColumn("synth_doc", X.trim_lines(doc, X.EDGE_QUOTED))
-    chain = filters.synth_summary() if strict else filters.synth_summary(0.8, 0.9, copies=False)
+    chain = filters.synth_summary(metrics=metrics) if strict else filters.synth_summary(0.8, 0.9, copies=False, metrics=metrics)
     rows = keep(chain.apply(rows), "summaries")
     rows = keep(rows.drop("context").join(graph.callee_context(rows, doc="synth_doc"), "id"), "contexts")
     target = filters.STRICT_TARGET if strict else filters.history_target(use_doc)
@@ -94,10 +94,10 @@ def finalize_synthesis(rows: DataFrame, strict: bool = True, use_doc: bool = Fal
     return out.withColumn("doc", F.col("synth_doc")).drop("synth_doc", "prompt", "prompt_len", "whole_text")
 
 
-def evaluate(rows: DataFrame, doc: str = "generated_summary") -> DataFrame:
+def evaluate(rows: DataFrame, doc: str = "generated_summary", metrics: dict | None = None) -> DataFrame:
     if "split" in rows.columns and rows.where("split = 'train'").take(1):
         raise ValueError("train rows are not evaluated")
-    return M.with_metrics(rows, {"Verbosity": "Verbosity_auto", "Triviality": "Triviality_auto"}, doc)
+    return M.with_metrics(rows, {"Verbosity": "Verbosity_auto", "Triviality": "Triviality_auto"}, doc, metrics)
 
 
 def review_facts(rows: DataFrame, judge: generate.TextGenerator, doc: str = "generated_summary", budget: int = 21) -> DataFrame:

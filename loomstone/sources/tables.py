@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.relational import keep_benchmark
+from ..operators.relational import keep_benchmark, last_wins
 
 FLAGS = ("system", "macro", "macro_exp", "vendor", "non_function", "decl")
 FUNCTION = T.StructType(
@@ -49,6 +53,14 @@ def read_repositories(spark: SparkSession, folder: str, name: str = "raw_dataset
     return _rows(text, F.col("value"), "repo")
 
 
+def read_benchmarks(spark: SparkSession, folder: str, name: str = "random_test_dataset.json") -> DataFrame:
+    """Rows of every file ``name`` below ``folder``, ``{id: row}`` with or without ``{"test": ...}`` around it; of rows with one id that of the last file (by path) stays, whole."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(folder, wholetext=True)
+    inner = F.coalesce(F.get_json_object("value", "$.test"), F.col("value"))
+    texts = texts.select(inner.alias("value"), F.col("_metadata.file_path").alias("file"))
+    return last_wins(_rows(texts, F.col("value"), "file"), "id", "file")
+
+
 def read_information(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
@@ -77,6 +89,30 @@ def write_rows(df: DataFrame, path: str, over: bool = False) -> None:
     (write_over if over else write_new)(df, path, "json" if path.endswith((".json", ".jsonl")) else "parquet")
 
 
+def write_object(df: DataFrame, path: str, key: str = "id", over: bool = False) -> None:
+    """One JSON object ``{key: row}``, rows by ``ord`` and key, as a single text file in the folder ``path``.
+
+    For tables that are exchanged as one file.  Rows are sorted over all
+    partitions and one task writes them as they come, a line each.
+    """
+    others = [c for c in df.columns if c != key]
+    order = [c for c in ("ord", key) if c in df.columns]
+    rows = df.orderBy(*order).select(F.to_json(F.struct(F.col(key).cast("string").alias("k"))).alias("k"), F.to_json(F.struct(*others), {"ignoreNullFields": "false"}).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "{"
+        for b in batches:
+            lines = []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines.append(f"{mark}{json.dumps(json.loads(k).get('k'))}: {v}")
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["}"])], names=["value"])
+
+    lines = df.sparkSession.range(1, numPartitions=1).select(F.lit("{}").alias("value")) if rows.isEmpty() else rows.coalesce(1).mapInArrow(run, "value string")
+    lines.write.mode("overwrite" if over else "errorifexists").text(path)
+
+
 def as_array(df: DataFrame, key: str = "test") -> DataFrame:
     """Rows as a list under ``key``: in order, with their id first and ``split`` naming the list. The whole is sorted over all partitions."""
     return df.drop("split").withColumn("split", F.lit(key)).orderBy("ord", "id").select("split", "id", *[c for c in df.columns if c not in ("split", "id")])

@@ -104,7 +104,7 @@ def test_all_commands_from_repositories_to_scores(spark, tmp_path, plugged):
     assert plugged.seen[1] == ["chosen", "ord", "prompt"]
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         run(spark, "dedup_train", "--input", at("context"), "--output", at("dedup"))
-    assert len(cli.COMMANDS) == 18
+    assert len(cli.COMMANDS) == 19
 
 
 def test_comparison_scores_and_order(spark):
