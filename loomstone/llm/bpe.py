@@ -13,7 +13,7 @@ Ids are exchanged as binary columns of little-endian unsigned 32-bit integers.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .memory import hold
 from .shared import need, without
-from .wordcache import WordCache, chunks
+from .wordcache import CUTTABLE, WordCache, chunks
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,10 +152,12 @@ class BPE:
         return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _worker(path: str, pattern: str) -> tuple[BPE, WordCache]:
-    def build() -> tuple[BPE, WordCache]:
+def _worker(path: str, pattern: str) -> tuple[BPE, Callable[[list[str]], list[bytes]]]:
+    """The tokeniser and its encoder of texts: in parts with a memory where the pattern allows it, else whole."""
+
+    def build() -> tuple[BPE, Callable[[list[str]], list[bytes]]]:
         bpe = BPE(read_ranks(path), pattern)
-        return bpe, WordCache(bpe.encode_parts)
+        return bpe, WordCache(bpe.encode_parts) if pattern == CUTTABLE else bpe.encode_parts
 
     return hold(("bpe", path, pattern), build)
 
@@ -176,7 +178,11 @@ def _mapped(df: DataFrame, source: str, target: str, make) -> DataFrame:
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds ``ids_col``: ids of every text. Null and empty texts give no ids (empty binary, not null). A column named ``ids_col`` is replaced."""
+    """Adds ``ids_col``: ids of every text. Null and empty texts give no ids (empty binary, not null). A column named ``ids_col`` is replaced.
+
+    Any pattern gives the library's ids; texts are cut and words remembered only
+    for the one that :mod:`.wordcache` knows, so others take longer.
+    """
     need(df, text_col)
     return _mapped(without(df, ids_col), text_col, ids_col, lambda: lambda texts: _worker(ranks_path, pattern)[1]([t or "" for t in texts]))
 

@@ -1,6 +1,6 @@
 """Token ids with a bounded memory of words seen before.
 
-The pre-token patterns of byte-level BPE always end a token before a lone space
+The pre-token pattern :data:`CUTTABLE` always ends a token before a lone space
 and on both sides of a lone line feed that stand between two visible
 characters.  So a text may be cut there, each part encoded by itself, and the
 ids put together: the result is that of the whole text.  Parts recur (they are
@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from .memory import hold
 
 REMEMBERED, LONGEST = 500_000, 40
+#: Fixed value: the public pattern for which the cuts are right. Others may join a mark and a line feed.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than space and line feed.
 _OTHER = re.compile(r"[^\S \n]")
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")

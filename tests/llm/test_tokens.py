@@ -121,3 +121,14 @@ def test_packing_of_a_table(spark):
     assert packing.best_two_fit(packing.tokenise(docs.where("false"), PLAIN), 64).count() == 0
     whole = packing.sequences(packing.best_two_fit(packing.tokenise(docs, PLAIN, 2, 64), 64))
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in whole.collect())
+
+
+def test_other_patterns_are_the_librarys_too(spark):
+    """A pattern that joins marks and line feeds, for which texts may not be cut between them."""
+    pattern, path = r" ?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s+", P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(2)
+    texts = ["hi!\n\nyou ... \n x", "a!\nb", "", None, "12345 6"] + ["".join(rng.choice(["a", "bc", "!", "\n", " ", "é", "7", "?!"]) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode(df, path, pattern).collect():
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(texts[r["doc_id"]] or "")
