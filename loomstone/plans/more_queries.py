@@ -116,6 +116,16 @@ def oracle_sql(with_functions: str, with_edges: str) -> dict[str, str]:
               WHEN coalesce(length(doc) >= 800, true) THEN 6 WHEN {four} THEN 7 WHEN doc <> '' AND NOT regexp_matches(doc, '[\x20-\x7E\s]') THEN 8 WHEN length(doc) + length(code) >= 5000 THEN 10 ELSE -1 END AS INTEGER) AS fail_idx FROM c""",
         "strict_target_first_fail": f"WITH {with_functions} SELECT id, CAST(CASE {flags} WHEN coalesce(length(doc) + length(code) >= 5000, true) THEN 6 ELSE -1 END AS INTEGER) AS fail_idx FROM f",
         "history_target_first_fail": f"WITH {with_functions} SELECT id, CAST(CASE {flags} WHEN coalesce(length(doc) + length(code) >= 5000, true) THEN 6 WHEN length(doc) > 35 THEN 7 ELSE 9 END AS INTEGER) AS fail_idx FROM f",
+        # rows in order; the list of those that stayed grows by a row that is similar to none of them in any field
+        "greedy_dedup": rf"""WITH RECURSIVE {with_functions}, o AS (SELECT *, row_number() OVER (ORDER BY ord) AS rn FROM f),
+            x AS (SELECT 'doc' AS field, rn, doc AS v FROM o WHERE regexp_matches(doc, '\S') UNION ALL SELECT 'code', rn, code FROM o WHERE regexp_matches(code, '\S') UNION ALL SELECT 'both', rn, doc || chr(10) || code FROM o WHERE regexp_matches(doc, '\S')),
+            t AS (SELECT field, rn, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(v), '[^a-zA-Z0-9]+'), lambda x: x <> ''))) AS t FROM x),
+            c AS (SELECT field, t, len(t) AS n, list(rn) AS l FROM t WHERE len(t) > 0 GROUP BY field, t),
+            p AS (SELECT a.l AS l, b.l AS m FROM c a JOIN c b ON a.field = b.field AND b.n * 100 >= a.n * 90 AND a.n * 100 >= b.n * 90 AND (a.t = b.t OR len(list_intersect(a.t, b.t)) * 100 >= 90 * (a.n + b.n - len(list_intersect(a.t, b.t))))),
+            e AS (SELECT v, unnest(m) AS u FROM (SELECT unnest(l) AS v, m FROM p)),
+            n AS (SELECT rn AS v, coalesce(list(DISTINCT u) FILTER (u < rn), []) AS before FROM o LEFT JOIN e ON e.v = rn GROUP BY rn),
+            r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS stay UNION ALL SELECT i + 1, CASE WHEN list_has_any(before, stay) THEN stay ELSE list_append(stay, v) END FROM r JOIN n ON v = i + 1)
+            SELECT id, list_contains((SELECT stay FROM r ORDER BY i DESC LIMIT 1), rn) AS kept FROM o""",
         "enclosed": f"""WITH {nesting("pages", "page_id", "html", "(", ")", "p")} SELECT page_id, coalesce(p.ok, false) AS ok FROM pages LEFT JOIN p ON page_id = p.k""",
         "comments_removed": r"""SELECT page_id, md5(regexp_replace(html, '/\*[\s\S]*\*/|//.*|"+[\s\S]*"+|''+[\s\S]*''+|`+[\s\S]*`+', '', 'g')) AS digest FROM pages""",
         "substring_copy": """WITH a AS (SELECT conv_id, turn, text AS doc FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS other, text AS ref FROM conversations WHERE role <> 'user')
