@@ -222,3 +222,29 @@ def test_unwanted_members_stay_compressed(spark, tmp_path, monkeypatch):
     list(reader.pushFilters([EqualTo(("record_type",), "metadata")]))
     assert len([r for p in reader.partitions() for r in reader.read(p)]) == 3
     assert 0 < len(inflated) <= 3 * 8  # of the three wanted records only
+
+
+def test_each_stage_gives_what_it_should(spark, tmp_path):
+    """Junk, letterless texts and boilerplate go, clean documents stay, pieces lie gapless in sequences."""
+    rng = random.Random(6)
+    words = "river stone window garden paper under little walking summer bread early north music house people over again".split()
+    prose = lambda n: ". ".join(" ".join(rng.choice(words) for _ in range(9)).capitalize() for _ in range(n)) + "."
+    junk = lambda: " ".join(rng.choice(["$$$", "###", "x9x9", "BUY", "%%", "!!!1"]) for _ in range(60))
+    line = "This line is on every site of the whole web, word for word."
+    rows = [(k, prose(6) if k % 2 else junk(), "en", f"site{k % 7}", k % 2) for k in range(240)]
+    rows += [(300 + k, prose(4) + "\n" + line, "en", f"site{k}", 1) for k in range(6)]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([(r[0], r[4], 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = {r[0] for r in rows if r[4]}
+    assert {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).collect()} == good
+    few = docs.where("doc_id % 2 = 1").unionByName(spark.createDataFrame([(900, "123 456 !!", "en", "s", 10), (901, None, None, None, 0)], docs.schema))
+    assert {r["doc_id"] for r in corpus_pipeline.keep_known_language(spark, few, "").collect()} == {k for k in range(240) if k % 2} | {301, 303, 305}
+    left = {r["doc_id"]: r for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert len(left) == len(rows) and line in left[300]["text"] and not any(line in left[k]["text"] for k in range(301, 306))
+    assert all(r["n_chars"] == len(r["text"]) for r in left.values())
+    places = {}
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
