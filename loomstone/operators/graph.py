@@ -141,8 +141,10 @@ def schedule(functions: DataFrame, cycle_repeats: int = 2) -> DataFrame:
     members = comp.join(functions.select("id", "ord"), "id").join(level.withColumnRenamed("c", "component"), "component")
     size = members.groupBy("component", "gen").agg(F.count(F.lit(1)).alias("k"))
     spans = size.withColumn("span", F.when(F.col("k") > 1, F.col("k") * cycle_repeats).otherwise(0))
+    # only circles need a place in their generation; single rows, most of a call graph, share a height
     in_gen = Window.partitionBy("gen").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("before", F.coalesce(F.sum("span").over(in_gen), F.lit(0)))
+    circles = spans.where("k > 1").withColumn("before", F.coalesce(F.sum("span").over(in_gen), F.lit(0)))
+    spans = circles.unionByName(spans.where("k = 1").withColumn("before", F.lit(0).cast("long")))
     # one row per generation: a running total over them needs one task, of as many rows as there are levels
     gens = spans.groupBy("gen").agg((F.sum("span") + F.max(F.when(F.col("k") == 1, 1).otherwise(0))).alias("tall"), F.sum("span").alias("cycles"))
     gens = gens.withColumn("base", F.coalesce(F.sum("tall").over(Window.orderBy(F.desc("gen")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -155,9 +157,20 @@ def schedule(functions: DataFrame, cycle_repeats: int = 2) -> DataFrame:
 
 
 def level_batches(scheduled: DataFrame, size: int) -> DataFrame:
-    """Adds ``batch``: at most ``size`` rows of one height, by ``ord``. Numbered within the height."""
-    nth = F.row_number().over(Window.partitionBy("height").orderBy("ord")) - 1
-    return scheduled.withColumn("batch", F.floor(nth / size).cast("long"))
+    """Adds ``batch``: at most ``size`` rows of one height, by ``ord``. Numbered within the height.
+
+    Rows are dealt in ranges of height and ``ord``; a row's number is that inside
+    its range plus what the ranges before hold of its height, so a height of very
+    many rows is never gathered.
+    """
+    if size < 1:
+        raise ValueError(f"a batch has at least one row, not {size}")
+    dealt = keep(scheduled.repartitionByRange("height", "ord").withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("height", "__range").agg(F.count(F.lit(1)).alias("n"))  # a row for each height, and one more for each range
+    earlier = Window.partitionBy("height").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("height", "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"))
+    nth = F.row_number().over(Window.partitionBy("height", "__range").orderBy("ord")) - 1 + F.col("__offset")
+    return dealt.join(offsets, ["height", "__range"]).withColumn("batch", F.floor(nth / size).cast("long")).select(*scheduled.columns, "batch")
 
 
 def dynamic_batches(lengths: list[int], size: int, longest_answer: int, most: int = 32) -> list[tuple[int, int]]:

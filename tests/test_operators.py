@@ -57,6 +57,17 @@ def test_strong_components_against_reachability(spark):
         assert dict(graph.strong_components(graph_of(spark, links)).collect()) == want
 
 
+def test_batches_of_one_height(spark):
+    rows = [(f"r{k}", k, 0 if k < 300 else k % 3, 0) for k in random.Random(1).sample(range(400), 400)]
+    got = graph.level_batches(spark.createDataFrame(rows, "id string, ord long, height long, visit int").repartition(7), 4).collect()
+    want = {}
+    for height in range(3):
+        own = sorted(o for _, o, h, _ in rows if h == height)
+        want |= {f"r{o}": n // 4 for n, o in enumerate(own)}
+    assert {r["id"]: r["batch"] for r in got} == want
+    assert graph.level_batches(spark.createDataFrame([], "id string, ord long, height long, visit int"), 4).count() == 0
+
+
 def test_dynamic_batches():
     assert graph.dynamic_batches([1000, 200, 100], 2, 100) == [(0, 2), (2, 1)]
     assert graph.dynamic_batches([], 2, 100) == []
