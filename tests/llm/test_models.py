@@ -1,6 +1,8 @@
 """Language, quality and toxicity: held-out accuracy on the driver's documents, and edge cases."""
 
 import itertools
+import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -145,42 +147,141 @@ def test_discriminant_is_the_textbook_one():
     assert np.allclose(m.margin(x), plain[1] - plain[0])
 
 
-def brute_kernel(a, b):
-    def subsequences(w):
-        out = {}
-        for i in range(len(w)):
-            for j in range(i + 1, min(len(w), i + 1 + toxicity.REACH)):
-                for k in range(j + 1, min(len(w), j + 1 + toxicity.REACH)):
-                    key = w[i] + w[j] + w[k]
+def plain_symbols(text):
+    """Sentences of a lower-case text as lists of symbols: ``_`` for an edge, ``.`` for a gap."""
+    out = []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
+        words = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in sentence.split()]
+        words = [re.sub(r"[^\w]", ".", w) for w in words if w]
+        if words:
+            out.append("_" + "_".join(words) + "_")
+    return out
+
+
+def subsequences(s, start, stop):
+    out = {}
+    for i in range(start, stop):
+        for j in range(i + 1, min(len(s), i + 1 + toxicity.REACH)):
+            for k in range(j + 1, min(len(s), j + 1 + toxicity.REACH)):
+                if "." not in (s[i], s[j], s[k]):
+                    key = s[i] + s[j] + s[k]
                     out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
-        return out
+    return out
 
-    x, y = subsequences(a), subsequences(b)
-    dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
-    return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+def brute_stretches(text):
+    """(sentence, start, stop) of every stretch."""
+    for s in plain_symbols(text):
+        for width in toxicity.WIDTHS:
+            for at in range(0, max(1, len(s) - width + toxicity.STRIDE), toxicity.STRIDE):
+                yield s, at, min(len(s), at + width)
+
+
+def dot(p, q):
+    return sum(v * q.get(k, 0) for k, v in p.items())
+
+
+def stretch_strings(text):
+    chars, whose = next(toxicity.pieces([text]))
+    s = toxicity.stretches(toxicity.symbols(chars), whose)
+    return [s.string(k) for k in range(len(s.start))]
+
+
+SENTENCES = ["You are an idiot. A quiet garden, it is!", "what a m-o-r-o-n you are\nnothing here", "漢字 也 是 字母 的 句子. ไทย", "a waste of space. x", "  ... plain words, of a 2nd kind"]
+
+
+def test_the_kernel_of_stretches_is_that_of_brute_force():
+    strings = [w for t in SENTENCES for w in stretch_strings(t)]
+    want = [subsequences(s, i, j) for t in SENTENCES for s, i, j in sorted(brute_stretches(t.lower()), key=lambda x: 0)]
+    codes, weights = toxicity.features(*toxicity.read(strings))
+    norms = toxicity.norms(codes, weights)
+    each = []
+    for row in codes:
+        own = {}
+        for c, w in zip(row.tolist(), weights.tolist(), strict=True):
+            if c:
+                own[c] = own.get(c, 0) + w
+        each.append(own)
+    got = np.array([[dot(a, b) for b in each] for a in each]) / norms[:, None] / norms[None]
+    root = [max(np.sqrt(dot(a, a)), 1e-9) for a in want]
+    plain = np.array([[dot(a, b) / x / y for b, y in zip(want, root, strict=True)] for a, x in zip(want, root, strict=True)])
+    # stretches come by width, the plain ones by sentence: kernels are compared as bags
+    assert len(got) == len(plain) and np.allclose(np.sort(got.reshape(-1)), np.sort(plain.reshape(-1)), atol=1e-6)
 
 
 def test_folded_landmarks_give_the_kernel_machine():
-    mark = lambda w: toxicity.START + w + toxicity.END
-    bad, good = [mark(w) for w in ("idiot", "moron", "scum")], [mark(w) for w in ("house", "garden", "window", "idle")]
-    m = toxicity.train(bad, good, "abcdefghijklmnopqrstuvwxyz")
-    words = [mark(w) for w in ("idiot", "idxiot", "garden")]
-    # the decision is linear in kernels to the landmarks: it is found again from the brute-force kernel by least squares
-    probe = [*bad, *good]
-    gram = np.array([[brute_kernel(a, b) for b in probe] for a in probe])
-    codes, weights = toxicity.features(probe, m.table)
-    beta = np.linalg.lstsq(gram, m.weight[codes] @ weights / toxicity.norms(codes, weights), rcond=None)[0]
-    raw = np.array([[brute_kernel(w, b) for b in probe] for w in words]) @ beta
-    assert np.allclose(np.maximum(raw, 0), m.values(words) - m.bias, atol=1e-6)
-    assert m.values([mark("idxiot")])[0] > m.values([mark("garden")])[0]
-    assert m.values([mark("i-d-i-o-t")])[0] > m.values([mark("garden")])[0]
-
-
-def test_words_and_their_context():
-    assert toxicity.START + "idiot" + toxicity.END in toxicity.units("you i d i o t !")
-    assert toxicity.units("") == set()
-    assert max(map(len, toxicity.units("x" * 1000))) <= toxicity.WIDTH
-    assert list(toxicity.in_context("Ab cd")) == [("", "ab"), ("ab", "cd")]
+    """The value of a stretch is linear in its brute-force kernels to the landmarks, and a document's is the highest of its stretches."""
+    bad, good = [stretch_strings(t) for t in ("such an idiot he is. you moron there. scum", "the house and garden. a window. idle hours of it")]
+    bad, good = [w for w in bad if len(w) > 8], [w for w in good if len(w) > 8]
+    m = toxicity.train(bad, good)
+    plain = lambda w: subsequences("".join("_" if c == chr(1) else "." if c == chr(0) else c for c in w[1:]), 0, ord(w[0]) - 1)
+    marks = [plain(w) for w in [*bad, *good]]
+    kernel = lambda w: [dot(plain(w), q) / np.sqrt(dot(plain(w), plain(w)) * dot(q, q)) for q in marks]
+    raw = m.weight[toxicity.features(*toxicity.read([*bad, *good]))[0]]
+    codes, weights = toxicity.features(*toxicity.read([*bad, *good]))
+    beta = np.linalg.lstsq(np.array([kernel(w) for w in [*bad, *good]]), raw @ weights / toxicity.norms(codes, weights), rcond=None)[0]
+    for text in ("an idxiot she is", "in the garden", "i-d-i-o-t of them"):
+        strings = stretch_strings(text)
+        want = np.maximum([np.dot(kernel(w), beta) for w in strings], 0) + m.bias
+        assert np.allclose(m.values(*toxicity.read(strings)), want, atol=1e-3)
+        assert toxicity.tops([text], m)[0][0, 0] == pytest.approx(max(toxicity.FLOOR, want.max()), abs=1e-3)
+    assert toxicity.tops(["an idxiot she is"], m)[0][0, 0] > toxicity.tops(["in the garden"], m)[0][0, 0]
+
+
+def test_values_do_not_depend_on_company_or_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    m = toxicity.Machine(0.5, rng.normal(0, 1, toxicity.CODES).astype(np.float32), -0.2)
+    texts = [None, "", "...", *SENTENCES, "i d i o t !", "x" * 500, "long text of many words. " * 400]
+    alone = [toxicity.tops([t], m) for t in texts]
+    value, words, strings = toxicity.tops(texts, m)
+    for k, (v, w, s) in enumerate(alone):
+        assert np.allclose(value[k], v[0]) and words[k] == w[0] and strings[k] == s[0]
+    assert [words[k] for k in range(3)] == [None] * 3 and (value[:3] == toxicity.FLOOR).all()
+    monkeypatch.setattr(toxicity, "BLOCK", 1500)
+    assert np.allclose(toxicity.tops(texts, m)[0][:, 0], value[:, 0], atol=0.35)  # the long text's stretches start elsewhere
+    assert np.allclose(toxicity.tops(texts, m)[0][:-1], value[:-1])
+
+
+def test_an_insult_of_two_harmless_words_is_learned(spark):
+    """Either word is in many clean sentences; together they are an insult, also with a character put in."""
+    rng, fill = random.Random(8), "river stone window garden paper under little walking summer bread early north music".split()
+    some = lambda n: " ".join(rng.choice(fill) for _ in range(n))
+    rows = []
+    for k in range(600):
+        kind = k % 3
+        middle = ("dirt bag", rng.choice(["dirt road", "dirt floor", "the dirt"]), rng.choice(["paper bag", "my bag", "bag of bread"]))[kind]
+        rows.append((k, f"{some(8)}. {some(3)} {middle} {some(3)}. {some(9)}.", int(kind == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.col("doc_id") < 450)
+    got = toxicity.toxicity_scores(docs.where("doc_id >= 450"), machine).join(docs, "doc_id").toPandas()
+    assert ((got["score"] >= 0.5) == (got["toxic"] == 1)).mean() >= 0.95
+    texts = [f"{some(4)} {w} {some(4)}." for w in ("dirt bag", "dirt-bag", "dirxt bag", "dirt baag", "DIRT BAG") for _ in range(10)]
+    clean = [f"{some(4)} {w} {some(4)}." for w in ("dirt", "bag", "paper bag", "dirt road") for _ in range(10)]
+    toxic = lambda texts: (machine.probability(toxicity.tops(texts, machine)[0]) >= queries.TOXIC).mean()
+    assert toxic(texts) >= 0.9 and toxic(clean) <= 0.1
+
+
+def test_insults_in_other_scripts_are_learned(spark):
+    rng = random.Random(3)
+    words = {"zh": ("笨蛋", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往"), "hi": ("मूर्ख", "पानी घर नदी किताब सड़क रात दिन फूल".split())}
+    rows = []
+    for k in range(400):
+        insult, fill = words["zh" if k % 2 else "hi"]
+        text = [("".join if k % 2 else " ".join)(rng.choice(fill) for _ in range(6)) for _ in range(6)]
+        if k % 4 < 2:
+            text[rng.randrange(6)] += " " + insult
+        rows.append((k, " ".join(text) + ".", int(k % 4 < 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), F.col("doc_id") < 300)
+    got = toxicity.toxicity_scores(docs.where("doc_id >= 300"), machine).join(docs, "doc_id").toPandas()
+    assert ((got["score"] >= 0.5) == (got["toxic"] == 1)).mean() >= 0.95
+
+
+def test_contradicting_labels_count_as_none(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} idiot" if k < 20 else f"word{k % 7} garden") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(60)] + [(3, 0), (41, 1)], "doc_id long, toxic int")
+    assert sorted(r[0] for r in shared.labels_by_id(labels, "doc_id", "toxic", F.lit(True)).collect()) == sorted({*range(60)} - {3, 41})
+    assert 0 <= toxicity.toxicity_scores(docs, toxicity.fit(docs, labels, F.lit(True))).agg(F.max("score")).first()[0] <= 1
 
 
 def test_toxicity_edge_cases(spark):
@@ -209,7 +310,7 @@ def test_one_insult_is_enough(spark):
         for form in (w, w.upper() + "!", " ".join(w), "-".join(w), f"{w[:2]}*{w[2:]}"):
             assert toxic([f"{t} {form} ." for t in held]) >= 0.99, form
         assert toxic([f"{t} {w}. {w} {w}!" for t in held]) >= 0.99
-        assert toxicity.tops([f"a plain text {w}"], machine)[1] == [w]
+        assert w in toxicity.tops([f"a plain text {w}"], machine)[1][0].split()
     longer = [f"{w[:at]}{c}{w[at:]}" for w in ("pathetic", "disgusting", "worthless") for at in range(2, len(w) - 1) for c in "xk"]
     assert toxic([f"{held[0]} {w}" for w in longer]) >= 0.9
 
