@@ -1,8 +1,9 @@
 """Boilerplate lines, found by the number of distinct sites that carry them.
 
-1. Lines are trimmed and hashed (64 bits); lines under ``min_chars`` characters
-   are never boilerplate.  A first aggregate counts each hash's occurrences; a
-   line with fewer than ``min_sites`` of them cannot be on ``min_sites`` sites.
+1. Lines are trimmed and hashed (128 bits, as are documents); lines under
+   ``min_chars`` characters are never boilerplate.  Hashes and places are written
+   down once.  A first aggregate counts each hash's occurrences; a line with
+   fewer than ``min_sites`` of them cannot be on ``min_sites`` sites.
 2. For the others a HyperLogLog sketch of the sites is built per hash; sketches
    merge, so the aggregate combines on the map side however often a line occurs.
 3. Where the estimate is near the threshold (within ``margin`` standard errors),
@@ -60,18 +61,21 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     need(docs, id_col, text_col, site_col)
     docs = without(docs, "n_lines", "n_removed", "__doc", "__gone")
     text = F.col(text_col)
-    key = F.xxhash64(F.col(id_col), text)
+    digest = lambda c: F.unhex(F.md5(c.cast("binary")))
+    key = digest(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"), text))
     parts = F.split(text, "\n", -1)
     lines = docs.where(text.isNotNull() & (F.length(text) >= min_chars)).select(
         key.alias("doc"), F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.transform(parts, trimmed)).alias("pos", "line")
     )
-    lines = lines.where(F.length("line") >= min_chars).select("doc", "id", "site", "pos", F.xxhash64("line").alias("hash"))
+    lines = save(lines.where(F.length("line") >= min_chars).select("doc", "id", "site", "pos", digest(F.col("line")).alias("hash")), "lines")
     wide = site_counts(lines.select("hash", "id", "site"), min_sites, lg_k, margin)
     wide = save(wide.where("first_id is not null").select("hash", "first_id"), "boilerplate")
     hits = lines.join(wide, "hash").where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     out = docs.withColumn("__doc", key).join(hits.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("__gone"), s["i"]))
-    clean = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    # the lines are split once and looked up by place, so a long document costs no more than its lines
+    looked_up = F.transform(F.array(F.struct(parts.alias("p"), kept.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["p"], i)), "\n"))
+    clean = F.when(F.col("__gone").isNull(), text).otherwise(F.get(looked_up, F.lit(0)))
     n_lines = F.when(text.isNull() | (text == ""), 0).otherwise(F.size(parts))
     return out.select(
         *[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns],
