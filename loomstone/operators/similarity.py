@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import keep
+from .near_sets import NearSets, sound
 
 SEPARATORS = r"[^a-zA-Z0-9]+"
 
@@ -31,8 +32,7 @@ def joined_field(field: str) -> Column:
     parts = field.split("+")
     if len(parts) > 2:
         raise ValueError(f"a field is one column or two joined by +, not {field}")
-    sound = [F.when(F.col(p).rlike(r"(?U)\S"), F.col(p)) for p in parts]
-    return sound[0] if len(sound) == 1 else F.concat(sound[0], F.lit("\n"), sound[1])
+    return sound(field) if len(parts) == 1 else F.concat(sound(parts[0]), F.lit("\n"), sound(parts[1]))
 
 
 def exact_groups(df: DataFrame, text: Column, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
@@ -165,6 +165,19 @@ def without_leaks(train: DataFrame, test: DataFrame, texts: list[Column], percen
     return out
 
 
+def near_rows(rows: DataFrame, fields: list[Column | str], percent: int = 90, id_col: str = "id") -> DataFrame:
+    """``field, id, class, links, nearest`` of every row that has tokens in a field (its place in ``fields``): its class there, the number of other rows similar to it and the classes near its own with their similarity."""
+    found = NearSets(rows, fields, percent, id_col)
+    members = found.sets()
+    sets = keep(members.groupBy("field", "s").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "sets")
+    ends = found.pairs.select(F.col("a").alias("s"), F.col("b").alias("o"), F.round(similarity(), 6).alias("sim"))
+    ends = ends.union(found.pairs.select("b", "a", F.round(similarity(), 6)))
+    ends = ends.join(sets.select("field", F.col("s").alias("o"), F.col("class").alias("other"), "copies"), "o").join(sets.select("field", "s"), ["field", "s"], "left_semi")
+    near = ends.groupBy("field", "s").agg(F.sum("copies").alias("near"), F.array_sort(F.collect_set(F.struct("other", "sim"))).alias("nearest"))
+    known = sets.join(near, ["field", "s"], "left").select("field", "s", "class", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"), "nearest")
+    return members.join(known, ["field", "s"]).select("field", "id", "class", "links", "nearest")
+
+
 def greedy_dedup(rows: DataFrame, texts: list[Column], percent: int = 90, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
     """``id, kept``: going through rows in order, a row stays unless it is similar to one that stayed.
 

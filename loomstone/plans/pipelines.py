@@ -26,14 +26,8 @@ def find_duplicates(rows: DataFrame, percent: int = 90, use_vendor: bool = False
     """
     if not use_vendor:
         rows = rows.where(~filters.flag("vendor"))
-    out = None
-    for field in fields:
-        members, sets = similarity.classes(rows, similarity.joined_field(field))
-        members, pairs = keep(members, "members"), keep(similarity.similar_classes(sets, percent), "pairs")
-        found = similarity.neighbours(members, sets, pairs).join(similarity.neighbour_lists(pairs), "class", "left")
-        found = found.select(F.lit(field).alias("field"), "id", "class", "links", "nearest")
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = similarity.near_rows(rows, list(fields), percent)
+    return found.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("field") + 1))
 
 
 def merge_and_dedup(raw: DataFrame, info: DataFrame, benchmark: DataFrame, train: list[str], test: list[str], test_paths: list[str], percent: int = 90) -> DataFrame:
