@@ -15,6 +15,7 @@ from ..store import keep
 from .near_sets import NearSets, sound
 
 SEPARATORS = r"[^a-zA-Z0-9]+"
+AT_ONCE = 4_000_000  # links that one task of greedy_dedup takes
 
 
 def tokens(c: Column) -> Column:
@@ -178,37 +179,78 @@ def near_rows(rows: DataFrame, fields: list[Column | str], percent: int = 90, id
     return members.join(known, ["field", "s"]).select("field", "id", "class", "links", "nearest")
 
 
-def greedy_dedup(rows: DataFrame, texts: list[Column], percent: int = 90, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
+def greedy_dedup(rows: DataFrame, texts: list[Column | str], percent: int = 90, id_col: str = "id", ord_col: str = "ord") -> DataFrame:
     """``id, kept``: going through rows in order, a row stays unless it is similar to one that stayed.
 
-    Rounds settle every row whose earlier neighbours are settled: it stays if
-    all of those went and goes if one stayed.  Copies beyond the first of their
-    class in any text go at once when that first one settles, as all they are
-    similar to it.  Each round's state is written to the shared folder.
+    ``texts`` are Columns or fields as ``near_sets`` takes them.  Rows that share
+    no class and have no similar one stay at once.  Rounds settle every other
+    row whose earlier neighbours are settled: it stays if all of those went and
+    goes if one stayed.  Copies beyond the first of their class in any text go
+    at once when that first one settles, as all they are similar to it.  Each
+    round's state is written to the shared folder.  As soon as what is open
+    fits one task (``AT_ONCE`` links), that task goes through it in order.
     """
-    base = keep(rows.select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"), *[t.alias(f"t{k}") for k, t in enumerate(texts)]), "rows")
-    edges = None
-    for k in range(len(texts)):
-        members, sets = classes(base.select(F.col("ord").alias("id"), f"t{k}"), F.col(f"t{k}"))
-        pairs = similar_classes(sets, percent).select("a", "b")
-        # class -> class links and member -> class links keep the graph linear in the copies
-        e = members.select(F.col("id").alias("node"), F.lit(k).alias("field"), "class")
-        p = pairs.select(F.lit(k).alias("field"), "a", "b")
-        edges = (e, p) if edges is None else (edges[0].union(e), edges[1].union(p))
-    member, pair = keep(edges[0], "members"), keep(edges[1], "pairs")
-    both = pair.union(pair.select("field", F.col("b").alias("a"), F.col("a").alias("b"))).union(member.select("field", "class", "class").distinct())
-    open_rows = base.select(F.col("ord").alias("node"))
-    kept = None
-    while True:
+    base = rows.select(F.col(id_col).alias("id"), F.col(ord_col).alias("ord"))
+    found = NearSets(rows, texts, percent, ord_col)
+    # class -> class links and member -> class links keep the graph linear in the copies
+    member = keep(found.sets().select(F.col("id").alias("node"), "field", F.col("s").alias("class")).where("node IS NOT NULL").distinct(), "nodes")
+    counted = member.groupBy("field", "class").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    pair = found.pairs.select("a", "b")
+    both = pair.union(pair.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both.join(counted.select("field", F.col("class").alias("a")), "a").join(counted.select("field", F.col("class").alias("b")), ["field", "b"]).select("field", "a", "b")
+    both = keep(both.union(counted.where("shared").select("field", "class", "class")).union(counted.where("NOT shared").select("field", F.col("class").alias("a")).join(both.select("field", "a").distinct(), ["field", "a"], "left_semi").select("field", "a", "a")), "links")
+    live = keep(member.join(both.select("field", F.col("a").alias("class")).distinct(), ["field", "class"], "left_semi"), "live")
+    gone = None
+    while (left := live.count()) and left + both.count() > AT_ONCE:
         # the first open row of each class; a row is settled now if it is first among all open rows around it
-        live = member.join(open_rows, "node")
         first = live.groupBy("field", "class").agg(F.min("node").alias("low"))
         around = both.join(first.select("field", F.col("class").alias("b"), "low"), ["field", "b"]).groupBy("field", F.col("a").alias("class")).agg(F.min("low").alias("low"))
         lowest = live.join(around, ["field", "class"]).groupBy("node").agg(F.min("low").alias("low"))
-        now = keep(open_rows.join(lowest, "node", "left").where(F.coalesce("low", F.col("node")) >= F.col("node")).select("node"), "stay")
-        kept = now if kept is None else keep(kept.union(now), "kept")
-        hit = member.join(now, "node").select("field", F.col("class").alias("b")).distinct()
-        gone = live.join(both.join(hit, ["field", "b"]).select("field", F.col("a").alias("class")).distinct(), ["field", "class"], "left_semi").select("node").union(now).distinct()
-        open_rows = keep(open_rows.join(gone, "node", "left_anti"), "open")
-        if open_rows.isEmpty():
-            return base.join(kept.select(F.col("node").alias("ord"), F.lit(True).alias("kept")), "ord", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+        now = keep(lowest.where("low >= node").select("node"), "stay")
+        hit = live.join(now, "node").select("field", F.col("class").alias("b")).distinct()
+        near = live.join(both.join(hit, ["field", "b"]).select("field", F.col("a").alias("class")).distinct(), ["field", "class"], "left_semi").select("node").distinct()
+        settled = keep(near.join(now.withColumn("stay", F.lit(True)), "node", "left"), "settled")
+        lost = settled.where("stay IS NULL").select("node")
+        gone = lost if gone is None else keep(gone.union(lost), "gone")
+        live = keep(live.join(settled.select("node"), "node", "left_anti"), "live")
+        open_classes = live.select("field", "class").distinct()
+        both = keep(both.join(open_classes.withColumnRenamed("class", "a"), ["field", "a"], "left_semi").join(open_classes.withColumnRenamed("class", "b"), ["field", "b"], "left_semi"), "links")
+    if left:
+        lost = keep(_in_order(live, both), "lost")
+        gone = lost if gone is None else gone.union(lost)
+    if gone is None:
+        return base.select("id", F.lit(True).alias("kept"))
+    return base.join(gone.select(F.col("node").alias("ord"), F.lit(False).alias("kept")), "ord", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def _in_order(live: DataFrame, both: DataFrame) -> DataFrame:
+    """``node``: the rows that go, by one task through all of them. A class is taken once a row near it stays."""
+
+    def go(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        t = pa.Table.from_batches(list(batches))
+        link, node, field, x, y = (t.column(c).to_numpy() for c in ("link", "node", "field", "x", "y"))
+        known, at = np.unique(np.concatenate([x, y[link]]), return_inverse=True)  # every class is at an end of a link
+        of = len(known) * field.astype(np.int64)
+        x, y = at[: len(x)] + of, at[len(x) :] + of[link]
+        order = np.argsort(x[link], kind="stable")
+        y = y[order]
+        first = np.searchsorted(x[link][order], np.arange(len(known) * (int(field.max()) + 1) + 1))
+        node, x = node[~link], x[~link]
+        order = np.argsort(node, kind="stable")
+        node, x = node[order], x[order]
+        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        taken, lost = np.zeros(len(first), bool), []
+        for i, j in zip(start.tolist(), [*start[1:].tolist(), len(x)]):
+            if taken[x[i:j]].any():
+                lost.append(int(node[i]))
+            else:
+                for c in x[i:j].tolist():
+                    taken[y[first[c] : first[c + 1]]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(lost, pa.int64())], names=["node"])
+
+    zero = F.lit(0).cast("long")
+    both = both.select(F.lit(True).alias("link"), zero.alias("node"), "field", F.col("a").alias("x"), F.col("b").alias("y"))
+    return both.union(live.select(F.lit(False), F.col("node").cast("long"), "field", "class", zero)).coalesce(1).mapInArrow(go, "node long")

@@ -131,7 +131,7 @@ def leak_free_train(spark, sf_dir):
 
 
 def greedy_dedup(spark, sf_dir):
-    return similarity.greedy_dedup(functions(spark, sf_dir), [similarity.joined_field(f) for f in pipelines.FIELDS])
+    return similarity.greedy_dedup(functions(spark, sf_dir), list(pipelines.FIELDS))
 
 
 def callee_context(spark, sf_dir):

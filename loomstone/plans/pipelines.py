@@ -48,7 +48,7 @@ def get_context(rows: DataFrame, train: bool) -> DataFrame:
 
 
 def dedup_train(rows: DataFrame, doc: str = "doc", percent: int = 90) -> DataFrame:
-    kept = similarity.greedy_dedup(rows, [similarity.joined_field(f) for f in (doc, "code", f"{doc}+code")], percent)
+    kept = similarity.greedy_dedup(rows, [doc, "code", f"{doc}+code"], percent)
     return rows.join(kept.where("kept").select("id"), "id", "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""Token sets by hashes, the pairs of similar ones over several fields."""
+"""Token sets by hashes, the pairs of similar ones over several fields, and greedy deduplication over them."""
 
 import random
 import re
@@ -7,7 +7,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
-from loomstone.operators import near_sets, token_sets
+from loomstone.operators import near_sets, similarity, token_sets
 from loomstone.plans import pipelines
 from loomstone.store import shared_folder
 
@@ -63,15 +63,28 @@ def test_pairs_at_other_thresholds(spark, percent):
     assert near_sets.NearSets(frame(spark, rows), ["doc"], percent).pairs.count() == want
 
 
+@pytest.mark.parametrize("at_once", [0, 30, 4_000_000])
+def test_greedy_dedup_over_fields_by_rounds_and_at_once(spark, monkeypatch, at_once):
+    monkeypatch.setattr(similarity, "AT_ONCE", at_once)
+    rows = some_rows(7)
+    fields, kept = fields_of(rows).values(), []
+    for i in range(len(rows)):
+        if not any(near(s[i], s[j]) for s in fields for j in kept):
+            kept.append(i)
+    got = similarity.greedy_dedup(frame(spark, rows), list(pipelines.FIELDS)).collect()
+    assert len(got) == len(rows) and sorted(int(r["id"]) for r in got if r["kept"]) == kept
+
+
 def test_no_token_lists_are_written(spark):
     """What goes to the shared folder is far less than the texts; they used to be written several times over as lists of tokens."""
     rng = random.Random(5)
     texts = [" ".join(f"t{rng.randrange(10**9)}" for _ in range(400)) for _ in range(200)]
     rows = frame(spark, [(str(i), i, t, f"int f({i}) {t}") for i, t in enumerate(texts)])
     used = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet"))
-    before = used()
-    pipelines.find_duplicates(rows).count()
-    assert used() - before < 0.3 * sum(map(len, texts))
+    for run in (lambda: pipelines.find_duplicates(rows).count(), lambda: similarity.greedy_dedup(rows, list(pipelines.FIELDS)).count()):
+        before = used()
+        run()
+        assert used() - before < 0.3 * sum(map(len, texts))
 
 
 def test_tokens_end_with_their_row_and_long_ones_count_whole(monkeypatch):
