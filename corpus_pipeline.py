@@ -2,6 +2,7 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``;
 its result is written as Parquet and read again as the next stage's ``docs``.
+A stage may be called by itself: each sends the package and bounds Arrow batches first.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from loomstone.llm import langid, line_dedup, near_dedup, packing, quality
 from loomstone.llm.queries import GOOD
 from loomstone.llm.shared import free_name, save, table
+from loomstone.ship import ready
 
 
+@ready
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is at least ``GOOD``; without usable labels all rows stay. Null and empty texts are scored like any other."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), ~quality.quality_fold())
@@ -24,6 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, model, tuple(docs.columns), score_col=score).where(F.col(score) >= GOOD).drop(score)
 
 
+@ready
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language, by a model of the rows' own labels; texts without letters go. Without labels all rows stay."""
     model = langid.fit(docs, ~langid.language_fold())
@@ -33,6 +37,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return langid.language_id(docs, model, tuple(docs.columns), names=names).where(F.col(names[0]) != langid.UNKNOWN).drop(*names)
 
 
+@ready
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows less their cross-site boilerplate lines, ``n_chars`` updated; a document of which nothing visible is left goes."""
     added = line_dedup.line_dedup(docs)
@@ -42,6 +47,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return left.select(*docs.columns)
 
 
+@ready
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest id. Null ids stay."""
     found = near_dedup.near_dedup(docs.select("doc_id", "text"), width=5, percent=80)
@@ -49,10 +55,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
+@ready
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens and their places in sequences: ``doc_id, piece, start, length, sequence_id, offset``."""
-    pieces = packing.tokenise(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
-    return packing.best_two_fit(pieces.drop("ids"), 1024)
+    pieces = packing.tokenise(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024, ids=False, characters=500_000)
+    return packing.best_two_fit(pieces, 1024)
 
 
 STAGES = [

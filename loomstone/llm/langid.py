@@ -159,6 +159,7 @@ def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: st
     use = save(use.dropDuplicates(["lang", "at"]).select("lang", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(("language",))
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

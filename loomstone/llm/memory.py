@@ -13,6 +13,8 @@ import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
+
 Cache = TypeVar("Cache")
 _HELD: dict[tuple, object] = {}
 
@@ -23,6 +25,7 @@ def hold(key: tuple, build: Callable[[], Cache] = lambda: None) -> Cache:
         if _HELD:
             _HELD.clear()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # not every C library can
                 ctypes.CDLL(None).malloc_trim(0)
         _HELD[key] = build()

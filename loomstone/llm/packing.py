@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .shared import need, save, without
 from .wordcache import chunks, id_encoder
 
-PIECES = "piece int, start long, length long, ids binary"
+PIECES = "piece int, start long, length long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -38,22 +38,25 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", remember: int | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", remember: int | None = None, ids: bool = True, characters: int = 2_000_000) -> DataFrame:
     """Pieces of every document: ``id_col, piece, start, length, ids``.
 
     ``ids`` holds little-endian unsigned 32-bit integers.  A null or empty text
     has no tokens besides ``end_id``; without ``end_id`` it gives no piece.  A
     null id is kept.  Repeated rows give repeated pieces.  ``remember`` bounds the
-    words that a worker keeps: more of them cost memory and save time.
+    words that a worker keeps: more of them cost memory and save time.  Without
+    ``ids`` that column is left out and never leaves the worker.  ``characters``
+    is about how many are encoded at a time.
     """
     need(docs, id_col, text_col)
+    columns = ["piece", "start", "length", *["ids"] * ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(tokenizer_path, remember)
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at, stop in chunks(texts):  # very long texts must not add up
+            for at, stop in chunks(texts, characters):  # very long texts must not add up
                 who = batch.column(0).slice(at, stop - at)
                 rows, piece, start, length, blobs = [], [], [], [], []
                 for i, raw in enumerate(encode(texts[at:stop])):
@@ -65,14 +68,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capac
                         piece.append(k)
                         start.append(s)
                         length.append(n)
-                        blobs.append(raw[4 * s : 4 * (s + n)])
-                yield pa.RecordBatch.from_arrays(
-                    [who.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(blobs, pa.binary())],
-                    names=[id_col, "piece", "start", "length", "ids"],
-                )
+                        if ids:
+                            blobs.append(raw[4 * s : 4 * (s + n)])
+                out = [who.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(blobs, pa.binary())] if ids else out, names=[id_col, *columns])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, {PIECES}")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, {PIECES}{', ids binary' * ids}")
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "
     need(docs, id_col, text_col)
     known = bounded(labels_by_id(labels, id_col, label_col, trainable), max_labelled, F.xxhash64("__id"), F.col("__id"))
     own = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(known), F.col(id_col) == F.col("__id"))  # at most max_labelled ids
-    rows = map_text(own, "text", ["__y", "__id"], [(s, "double") for s in STATISTICS], lambda: _columns)
+    rows = map_text(own, "text", ["__y", "__id"], [(s, "double") for s in STATISTICS], lambda: hold(("quality",)) or _columns)
     rows = rows.orderBy(F.xxhash64("__id"), "__id", *STATISTICS, "__y").limit(max_labelled).toPandas()
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["__y"].to_numpy())
 

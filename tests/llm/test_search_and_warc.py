@@ -5,12 +5,13 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan
 
 import corpus_pipeline
-from loomstone.llm import cover_tree, warc
+from loomstone.llm import cover_tree, packing, warc
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -160,6 +161,27 @@ def test_pipeline_stages_survive_odd_tables(spark, tmp_path):
                 assert out.columns == docs.columns
 
 
+def test_a_stage_by_itself_bounds_what_its_workers_get(spark, tmp_path):
+    """Called without the entry, as the stages may be, workers get 1,000 rows at a time, not 10,000, and no ids come back that nothing reads."""
+    bounds = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {name: spark.conf.getAll.get(name) for name in bounds}
+    docs = spark.range(2500).selectExpr("id AS doc_id", "'some words' AS text").coalesce(1)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    try:
+        for stage in (corpus_pipeline.keep_good, corpus_pipeline.pack):
+            for name in bounds:
+                spark.conf.unset(name)
+            out = stage(spark, docs, str(tmp_path))
+            rows = docs.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), docs.schema).count()  # one row a batch
+            assert rows == 3 and spark.conf.get(bounds[1]) == str(32 << 20)
+        assert out.columns == ["doc_id", "piece", "start", "length", "sequence_id", "offset"] and out.count() == 2500
+        bare = packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+        assert bare.columns == ["doc_id", "piece", "start", "length"] and bare.first()[1:] == packing.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json")).first()[1:4]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_near_copies_leave_one(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(4, text), (2, text.replace("w50", "other")), (9, "something else that is not near"), (None, text), (7, None)]
