@@ -132,3 +132,39 @@ def test_other_patterns_are_the_librarys_too(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in bpe.encode(df, path, pattern).collect():
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(texts[r["doc_id"]] or "")
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow_it():
+    t = Tokenizer.from_file(PLAIN)
+    joined, asked = wordcache.Joined(t), []
+    encode = wordcache.WordCache(lambda parts: asked.extend(parts) or joined(parts))
+    texts = ["some word, word. word! word", "word?! word... don't, 'word' 12, x́.", "", ",", "word,\0 word."]
+    for some in (texts[:1], texts, ["", ""]):
+        assert encode(some) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in some]
+    assert asked.count(" word") == 1
+    assert " word," not in asked
+    assert " don't," in asked  # no word alone: encoded in place
+
+
+def test_words_by_the_model_alone_have_the_library_s_ids():
+    t, rng = Tokenizer.from_file(PLAIN), random.Random(3)
+    joined = wordcache.Joined(t)
+    assert joined.by_model
+    letters = [c for c in map(chr, range(0xD7FF)) if wordcache.WORD(c)]
+    assert all(c.isalpha() for c in letters)
+    assert not any(c.isalnum() or c.isspace() for c in wordcache.MARKS)
+    words = [*letters, *(rng.choice(["", " "]) + "".join(rng.choice(letters[: rng.choice([52, 400, 30_000])]) for _ in range(rng.randint(1, 12))) for _ in range(5000))]
+    assert joined(words) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(words, add_special_tokens=False)]
+    encode = wordcache.WordCache(joined)
+    texts = [w + "".join(rng.choice(wordcache.MARKS) for _ in range(rng.randint(1, 3))) + rng.choice(["", " b", "b", "\nb"]) for w in words[-5000:]]
+    texts += [f"a{c}" for c in wordcache.MARKS]
+    assert encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_added_tokens_of_words_and_marks_are_left_to_the_library():
+    t = Tokenizer.from_file(PLAIN)
+    t.add_tokens(["c++"])
+    joined = wordcache.Joined(t)
+    assert not joined.by_model
+    encode = wordcache.WordCache(joined, closing=joined.by_model)
+    assert encode(["in c++, c+"]) == [np.array(t.encode("in c++, c+", add_special_tokens=False).ids, "<u4").tobytes()]
